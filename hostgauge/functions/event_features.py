@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostgauge.fixed_values import ARGS_PATTERNS, LEGACY_FEATURES, NAME_LEXICONS
+from hostgauge.functions.json_text import whole_json
 from hostgauge.schemas import present
 
 
@@ -15,7 +16,7 @@ def args_blob(args: Column | str = "args") -> Column:
     empty part, one whose value is null adds none, other elements are skipped.
     """
     c = F.col(args) if isinstance(args, str) else args
-    elements = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+    elements = F.try_variant_get(whole_json(c), "$", "array<variant>")
     objects = F.filter(elements, lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull())
     values = F.transform(objects, lambda x: F.try_variant_get(x, "$.value", "variant"))
     shown = F.filter(values, lambda v: ~F.coalesce(F.is_variant_null(v), F.lit(False)))

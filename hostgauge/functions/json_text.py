@@ -1,0 +1,15 @@
+"""JSON text to variants."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+
+def whole_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else, else null.
+
+    ``try_parse_json`` stops after the first value and ignores what follows, so
+    the text is parsed as the only element of an array.
+    """
+    wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(wrapped) == 1, F.element_at(wrapped, 1))

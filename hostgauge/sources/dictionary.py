@@ -44,21 +44,21 @@ def unnamed(event_id: Column) -> Column:
 
 def with_event_id(df: DataFrame, dictionary: DataFrame, name: str = "eventName", out: str = "eventId") -> DataFrame:
     """Id of the lower-cased name, 0 for unknown names."""
-    side = lookup_side(dictionary.select(F.col("event_name").alias("_name"), F.col("event_id").alias("_id")))
+    side = lookup_side(dictionary.select(F.col("event_name").alias("__name"), F.col("event_id").alias("__id")))
     return (
-        df.withColumn("_name", F.lower(name))
-        .join(side, "_name", "left")
-        .withColumn(out, F.coalesce("_id", F.lit(0)))
-        .drop("_name", "_id")
+        df.withColumn("__name", F.lower(name))
+        .join(side, "__name", "left")
+        .withColumn(out, F.coalesce("__id", F.lit(0)))
+        .drop("__name", "__id")
     )
 
 
 def with_event_name(df: DataFrame, dictionary: DataFrame, event_id: str = "eventId", out: str = "eventName") -> DataFrame:
     """Name of the id, ``syscall_<id>`` for unknown ids."""
-    names = dictionary.groupBy(F.col("event_id").alias("_id")).agg(F.min("event_name").alias("_name"))
+    names = dictionary.groupBy(F.col("event_id").alias("__id")).agg(F.min("event_name").alias("__name"))
     return (
-        df.withColumn("_id", F.col(event_id))
-        .join(lookup_side(names), "_id", "left")
-        .withColumn(out, F.coalesce("_name", unnamed(F.col(event_id))))
-        .drop("_id", "_name")
+        df.withColumn("__id", F.col(event_id))
+        .join(lookup_side(names), "__id", "left")
+        .withColumn(out, F.coalesce("__name", unnamed(F.col(event_id))))
+        .drop("__id", "__name")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from hostgauge.functions.json_text import whole_json
 from hostgauge.operators.filters import complete
 from hostgauge.schemas import EVENT_COLUMNS, EVENT_SCHEMA, NUMERIC_COLUMNS, conform
 
@@ -86,7 +87,7 @@ def decode_batches(messages: DataFrame) -> DataFrame:
     Messages that are no JSON array, and empty arrays, give no rows. ``seq`` is
     the event's position within ``msg_id``.
     """
-    events = F.try_variant_get(F.try_parse_json("data"), "$", "array<variant>")
+    events = F.try_variant_get(whole_json(F.col("data")), "$", "array<variant>")
     exploded = messages.select(
         stream_host(F.col("stream")).alias("_host"), "msg_id", "ingest_ts", F.posexplode(events).alias("pos", "_event")
     )

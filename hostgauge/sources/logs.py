@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hostgauge.fixed_values import (
     AUDIT_KV_NAMES, AUDIT_KV_PATTERN, AUDIT_KV_TIME_PATTERN, AUDIT_SYSCALL_PATTERN, AUDIT_TIME_PATTERN,
 )
+from hostgauge.functions.json_text import whole_json
 from hostgauge.functions.text import iso_to_micros
 from hostgauge.schemas import EVENT_SCHEMA
 from hostgauge.sources.dictionary import unnamed, with_event_id, with_event_name
@@ -72,7 +73,7 @@ def ingest_probe_json(
 
     ``time_unit`` is the length of a numeric timestamp's unit in seconds.
     """
-    parsed = lines.withColumn("_line", F.try_parse_json(F.trim("value")))
+    parsed = lines.withColumn("_line", whole_json(F.trim("value")))
     line = F.col("_line")
     plain = _has(line, "eventName") | _has(line, "eventId")
     wrapped = F.try_variant_get(line, "$.event", "variant")

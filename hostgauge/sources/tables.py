@@ -30,8 +30,17 @@ def _case(column: str, mapping: dict) -> Column:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_telemetry(table(spark, sf_dir, "events"))
+
+
+def telemetry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return as_telemetry(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
+
+
+def as_telemetry(events: DataFrame) -> DataFrame:
     """``events`` in the event layout, plus ``ts_us``, ``seq`` and ``value``."""
-    e = table(spark, sf_dir, "events").select(
+    e = events.select(
         F.col("event_id").alias("seq"),
         ntz_to_micros("ts").alias("ts_us"),
         F.col("user_id").alias("userId"),
