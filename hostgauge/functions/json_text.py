@@ -9,7 +9,19 @@ def whole_json(text: Column) -> Column:
     """The variant of a text that is one JSON value and nothing else, else null.
 
     ``try_parse_json`` stops after the first value and ignores what follows, so
-    the text is parsed as the only element of an array.
+    the text is parsed as an array, of which it must be the only element.
     """
-    wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(wrapped) == 1, F.element_at(wrapped, 1))
+    wrapped = F.array(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+
+    def only_element(w: Column) -> Column:
+        second = F.try_variant_get(w, "$[1]", "variant")
+        return F.when(second.isNull(), F.try_variant_get(w, "$[0]", "variant"))
+
+    # a lambda variable, so that the text is parsed once for both look-ups
+    return F.element_at(F.transform(wrapped, only_element), 1)
+
+
+def once(c: Column) -> Column:
+    """``c`` as a generated column. Spark moves a filter below plain columns by
+    repeating their expression in it, but not below generated ones."""
+    return F.explode(F.array(c))

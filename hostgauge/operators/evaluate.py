@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostgauge.fixed_values import SWEEP_FROM, SWEEP_STEPS, SWEEP_TO
 from hostgauge.operators.filters import require_labels
-from hostgauge.operators.ordered import bin_by, exact_quantiles, rank_curve
+from hostgauge.operators.ordered import bin_by, quantile_array, rank_curve
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -113,10 +113,10 @@ def sweep(df: DataFrame, score: str = "normality_score", steps: int = SWEEP_STEP
     require_labels(df)
     width = (SWEEP_TO - SWEEP_FROM) / (steps - 1)
     percentiles = [SWEEP_FROM + i * width for i in range(steps)]
-    row = exact_quantiles(df, score, {f"t{i}": p / 100 for i, p in enumerate(percentiles)}).first()
+    row = quantile_array(df, score, [p / 100 for p in percentiles]).first()
     if row is None:
         raise ValueError("no scores to sweep")
-    thresholds = [row[f"t{i}"] for i in range(steps)]
+    thresholds = row["quantiles"]
 
     # rows of bin b are positive for the candidates b, b + 1, ...
     bins = (

@@ -34,7 +34,16 @@ def row_hash(columns: list[str], seed: int) -> Column:
 def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], groups: list[str] | None = None, n: str = "n_scores"
 ) -> DataFrame:
-    """Linearly interpolated quantiles: one column per entry of ``probs``, and ``n``.
+    """Linearly interpolated quantiles: one column per entry of ``probs``, and ``n``."""
+    found = quantile_array(df, value, list(probs.values()), groups, n)
+    named = [F.col("quantiles")[i].alias(name) for i, name in enumerate(probs)]
+    return found.select(*(groups or []), *named, n)
+
+
+def quantile_array(
+    df: DataFrame, value: str, probs: list[float], groups: list[str] | None = None, n: str = "n_scores"
+) -> DataFrame:
+    """``quantiles``, the linearly interpolated quantiles in the order of ``probs``, and ``n``.
 
     ``groups`` must not be null. Equal values are counted first, then only the
     bins that hold a wanted rank are sorted.
@@ -49,8 +58,13 @@ def exact_quantiles(
     up_to = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*groups)
     per_bin = per_bin.withColumns({"_end": F.sum("_c").over(up_to), "_n": F.sum("_c").over(whole)})
-    positions = [F.lit(p) * (F.col("_n") - 1) for p in probs.values()]
-    ranks = F.array_distinct(F.array(*[f(p).cast("bigint") for p in positions for f in (F.floor, F.ceil)]))
+    wishes = F.array(*[F.lit(float(p)) for p in probs])
+
+    def around(p: Column) -> Column:
+        position = p * (F.col("_n") - 1)
+        return F.array(F.floor(position), F.ceil(position))
+
+    ranks = F.array_distinct(F.flatten(F.transform(wishes, around)))
     start = F.col("_end") - F.col("_c")
     wanted = per_bin.select(
         *groups,
@@ -60,7 +74,7 @@ def exact_quantiles(
         F.filter(ranks, lambda r: (r >= start) & (r < F.col("_end"))).alias("_ranks"),
     ).where(F.size("_ranks") > 0)
     if not groups:
-        # at most two bins per wanted quantile
+        # at most two rows per wanted quantile
         wanted = F.broadcast(wanted)
 
     inside = Window.partitionBy(*groups, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -73,13 +87,13 @@ def exact_quantiles(
         F.first("_n").alias(n),
         F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"),
     )
-    out = []
-    for name, p in probs.items():
-        pos = F.lit(p) * (F.col(n) - 1)
-        lo = F.element_at("_at", F.floor(pos).cast("bigint"))
-        hi = F.element_at("_at", F.ceil(pos).cast("bigint"))
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return at_rank.select(*groups, *out, n)
+
+    def between(p: Column) -> Column:
+        position = p * (F.col(n) - 1)
+        low, high = F.element_at("_at", F.floor(position)), F.element_at("_at", F.ceil(position))
+        return low + (high - low) * (position - F.floor(position))
+
+    return at_rank.select(*groups, F.transform(wishes, between).alias("quantiles"), n)
 
 
 def rank_curve(df: DataFrame, value: str, sums: dict[str, Column]) -> DataFrame:

@@ -59,7 +59,7 @@ def toxic_text_ranking(spark, sf_dir):
 
 
 _WIDTH = (SWEEP_TO - SWEEP_FROM) / (SWEEP_STEPS - 1)
-_CANDIDATES = ", ".join(f"({i}, {SWEEP_FROM + i * _WIDTH!r})" for i in range(SWEEP_STEPS))
+_CANDIDATES = ", ".join(f"({i}, {SWEEP_FROM + i * _WIDTH!r}::DOUBLE)" for i in range(SWEEP_STEPS))
 _QUANTILES = ", ".join(f"{(SWEEP_FROM + i * _WIDTH) / 100!r}" for i in range(SWEEP_STEPS))
 _SWEEP = f"""
 WITH {S}, p(step, percentile) AS (VALUES {_CANDIDATES}),

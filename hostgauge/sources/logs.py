@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hostgauge.fixed_values import (
     AUDIT_KV_NAMES, AUDIT_KV_PATTERN, AUDIT_KV_TIME_PATTERN, AUDIT_SYSCALL_PATTERN, AUDIT_TIME_PATTERN,
 )
-from hostgauge.functions.json_text import whole_json
+from hostgauge.functions.json_text import once, whole_json
 from hostgauge.functions.text import iso_to_micros
 from hostgauge.schemas import EVENT_SCHEMA
 from hostgauge.sources.dictionary import unnamed, with_event_id, with_event_name
@@ -51,8 +51,12 @@ def _whole(v: Column) -> Column:
     return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
+def _is_array(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def _shown(v: Column) -> Column:
@@ -60,7 +64,7 @@ def _shown(v: Column) -> Column:
     return (
         F.when(v.isNull(), "")
         .when(F.is_variant_null(v), "None")
-        .when(_kind(v) == "BOOLEAN", F.initcap(_text(v)))
+        .when(_text(v).isin("true", "false") & (F.schema_of_variant(v) == "BOOLEAN"), F.initcap(_text(v)))
         .otherwise(F.coalesce(_text(v), F.lit("")))
     )
 
@@ -73,7 +77,7 @@ def ingest_probe_json(
 
     ``time_unit`` is the length of a numeric timestamp's unit in seconds.
     """
-    parsed = lines.withColumn("_line", whole_json(F.trim("value")))
+    parsed = lines.withColumn("_line", once(whole_json(F.trim("value"))))
     line = F.col("_line")
     plain = _has(line, "eventName") | _has(line, "eventId")
     wrapped = F.try_variant_get(line, "$.event", "variant")
@@ -95,7 +99,8 @@ def ingest_probe_json(
     ctx = F.col("_ctx")
     # The process context is used when it is an object or absent; a context of
     # another kind is ignored in favour of the event's own short names.
-    with_ctx = ctx.isNull() | _kind(ctx).startswith("OBJECT")
+    rows = rows.withColumn("_with_ctx", ctx.isNull() | _is_object(ctx))
+    with_ctx = F.col("_with_ctx")
 
     def who(ctx_keys: tuple, top_key: str, bare_keys: tuple, legacy_key: str) -> Column:
         modern = F.when(
@@ -104,7 +109,7 @@ def ingest_probe_json(
         return F.when(legacy, _first_of(e, legacy_key)).otherwise(modern)
 
     elements = F.try_variant_get(F.col("_args"), "$", "array<variant>")
-    objects = F.filter(elements, lambda a: _kind(a).startswith("OBJECT"))
+    objects = F.filter(elements, _is_object)
     kept = F.transform(
         objects,
         lambda a: F.struct(
@@ -116,7 +121,7 @@ def ingest_probe_json(
     modern_args = F.coalesce(F.to_json(kept), F.lit("[]"))
     legacy_args = F.coalesce(F.to_json("_args"), F.lit("[]"))
     returned = _first_of(e, "returnValue", "return_value", "retval")
-    returned = F.when(F.try_variant_get(returned, "$", "double").isNotNull() & (_kind(returned) != "STRING"), _whole(returned)).otherwise(0)
+    returned = F.when(F.try_variant_get(returned, "$", "double").isNotNull() & (F.schema_of_variant(returned) != "STRING"), _whole(returned)).otherwise(0)
     host = F.coalesce(_text(F.when(with_ctx, _first_of(ctx, "hostName", "hostname")).otherwise(_first_of(e, "hostName"))), F.lit(default_host))
     time_text = _text(F.col("_time"))
     seconds = F.coalesce(time_text.try_cast("double") * time_unit, iso_to_micros(time_text) / 1_000_000)
@@ -143,7 +148,7 @@ def ingest_probe_json(
             "hostName": F.when(legacy, F.lit(default_host)).otherwise(host),
             "eventId": F.when(F.col("_id") != 0, F.col("_id")).otherwise(F.col("_by_name")),
             "eventName": F.col("eventName"),
-            "stackAddresses": F.when(~legacy & _kind(stack).startswith("ARRAY"), F.to_json(stack)).otherwise(F.lit("[]")),
+            "stackAddresses": F.when(~legacy & _is_array(stack), F.to_json(stack)).otherwise(F.lit("[]")),
             "argsNum": F.coalesce(F.size(elements), F.lit(0)),
             "returnValue": F.when(legacy, _whole(_first_of(e, "ret"))).otherwise(returned),
             "args": F.when(legacy, legacy_args).otherwise(modern_args),
@@ -166,15 +171,18 @@ def ingest_auditd(
     inside ``auid=``; ``uid_source="auid"`` takes that one, the default the
     record's own uid.
     """
-    rows = (
-        lines.withColumn("_line", F.trim("value"))
-        .where(F.col("_line").contains("type=SYSCALL"))
-        .where(F.col("_line").rlike(AUDIT_SYSCALL_PATTERN))
-    )
     line = F.col("_line")
+    rows = lines.withColumn("_line", F.trim("value")).where(line.contains("type=SYSCALL"))
+    # Plain tests first: a line that lacks one of these would keep the pattern
+    # trying every way to match.
+    for word in ("syscall=", "success=", "exit=", "a0=", "ppid=", "uid=", 'comm="'):
+        rows = rows.where(F.lower(line).contains(word))
+    # One search yields all groups; a line without a match stays whole.
+    groups = F.regexp_replace(line, f"^.*?{AUDIT_SYSCALL_PATTERN}.*$", "\u001f".join(f"${i}" for i in range(1, 9)))
+    rows = rows.withColumn("_part", once(F.split(groups, "\u001f"))).where(F.size("_part") == 8)
 
     def part(i: int) -> Column:
-        return F.regexp_extract(line, AUDIT_SYSCALL_PATTERN, i)
+        return F.col("_part")[i - 1]
 
     exit_code = part(3).cast("bigint")
     first_uid = part(7).cast("bigint")
