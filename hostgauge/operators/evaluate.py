@@ -114,7 +114,7 @@ def sweep(df: DataFrame, score: str = "normality_score", steps: int = SWEEP_STEP
     width = (SWEEP_TO - SWEEP_FROM) / (steps - 1)
     percentiles = [SWEEP_FROM + i * width for i in range(steps)]
     row = quantile_array(df, score, [p / 100 for p in percentiles]).first()
-    if row is None:
+    if not row["n_scores"]:
         raise ValueError("no scores to sweep")
     thresholds = row["quantiles"]
 

@@ -142,31 +142,36 @@ class Forest:
         return self.feature.nbytes + self.threshold.nbytes + self.path_len.nbytes
 
     def raw_scores(self, x: np.ndarray) -> np.ndarray:
-        """-2 ** (-E[h] / c(psi)) for each row of ``x``."""
-        n, width = x.shape
-        flat, base = np.ascontiguousarray(x).ravel(), np.arange(n) * width
-        levels = self.path_len.shape[1].bit_length() - 1
-        inner = self.path_len.shape[1] - 1
-        total = np.zeros(n)
-        for feature, threshold, path in zip(self.feature, self.threshold, self.path_len):
-            node = np.zeros(n, dtype=np.int64)
-            for _ in range(levels):
-                value = flat.take(base + feature.take(node))
-                node += node + 1 + ~(value < threshold.take(node))
-            total += path.take(node - inner)
-        return -np.exp2(-(total / len(self.feature)) / max(average_path(self.psi), 1e-12))
+        return raw_scores(x, self.feature, self.threshold, self.path_len, self.psi)
+
+
+def raw_scores(x: np.ndarray, features: np.ndarray, thresholds: np.ndarray, paths: np.ndarray, psi: int) -> np.ndarray:
+    """-2 ** (-E[h] / c(psi)) for each row of ``x``: all rows go down one tree at a time."""
+    n, width = x.shape
+    flat, base = np.ascontiguousarray(x).ravel(), np.arange(n) * width
+    levels = paths.shape[1].bit_length() - 1
+    total = np.zeros(n)
+    for feature, threshold, path in zip(features, thresholds, paths):
+        node = np.zeros(n, dtype=np.int64)
+        for _ in range(levels):
+            value = flat.take(base + feature.take(node))
+            node += node + 1 + ~(value < threshold.take(node))
+        total += path.take(node - (2**levels - 1))
+    return -np.exp2(-(total / len(features)) / max(average_path(psi), 1e-12))
 
 
 def normality_score(spark: SparkSession, forest: Forest, features: list[str] = FEATURES) -> Column:
     """Score column, higher is more normal. Ships the trees once per executor."""
-    shared = spark.sparkContext.broadcast(forest)
+    # plain arrays, as executors may not have this package
+    shared = spark.sparkContext.broadcast((forest.feature, forest.threshold, forest.path_len, forest.psi))
+    offset = forest.offset
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         trees = shared.value
         for columns in batches:
             x = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
-            yield pd.Series(trees.raw_scores(x) - trees.offset)
+            yield pd.Series(raw_scores(x, *trees) - offset)
 
     return score(*[F.col(f) for f in features])
 

@@ -46,7 +46,8 @@ def quantile_array(
     """``quantiles``, the linearly interpolated quantiles in the order of ``probs``, and ``n``.
 
     ``groups`` must not be null. Equal values are counted first, then only the
-    bins that hold a wanted rank are sorted.
+    bins that hold a wanted rank are sorted. Without groups there is always one
+    row, of nulls and 0 if there are no values.
     """
     groups = groups or []
     v = F.col(value)
@@ -84,7 +85,7 @@ def quantile_array(
         .withColumn("_r", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_c")) & (r < F.col("_end")))))
     )
     at_rank = picks.groupBy(*groups).agg(
-        F.first("_n").alias(n),
+        F.coalesce(F.first("_n"), F.lit(0)).alias(n),
         F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"),
     )
 

@@ -24,13 +24,14 @@ BUCKET_WINDOWS = 12
 
 def with_halo(df: DataFrame, reach_us: int, bucket_us: int, ts: str = "ts_us") -> DataFrame:
     """One row per (event, time bucket whose frames can see it): ``_bucket``, ``_own``."""
-    own = F.floor(F.col(ts) / bucket_us)
-    last = F.floor((F.col(ts) + reach_us) / bucket_us)
+    # a row without time is alone in a bucket that no time falls into
+    alone = F.pmod(F.coalesce("seq", F.lit(0)), F.lit(1 << 40)) - F.lit(1 << 62)
+    own = F.coalesce(F.floor(F.col(ts) / bucket_us), alone)
+    last = F.coalesce(F.floor((F.col(ts) + reach_us) / bucket_us), alone)
     return (
         df.withColumn("_first", own)
-        # outer: a row without time stays, in a bucket of its own
-        .withColumn("_bucket", F.explode_outer(F.sequence(own, last)))
-        .withColumn("_own", F.col("_bucket").eqNullSafe(F.col("_first")))
+        .withColumn("_bucket", F.explode(F.sequence(own, last)))
+        .withColumn("_own", F.col("_bucket") == F.col("_first"))
         .drop("_first")
     )
 
@@ -41,7 +42,7 @@ def _last_before(df: DataFrame, keys: list[str], reach_us: int, bucket_us: int)
     Works on one row per (key, bucket), so the window over the key is small.
     """
     per_bucket = (
-        df.groupBy(*keys, F.floor(F.col("ts_us") / bucket_us).alias("_bucket"))
+        df.where("ts_us is not null").groupBy(*keys, F.floor(F.col("ts_us") / bucket_us).alias("_bucket"))
         .agg(F.max("ts_us").alias("ts_us"))
     )
     following = F.lead("_bucket").over(Window.partitionBy(*keys).orderBy("_bucket"))
@@ -59,7 +60,8 @@ def _frames(group: list[str], window_us: int):
 
 
 def _in_frame(opened: Column, closed: Column, so_far, expired) -> Column:
-    return F.sum(opened).over(so_far) - F.coalesce(F.sum(closed).over(expired), F.lit(0))
+    gone = F.coalesce(F.sum(closed).over(expired), F.lit(0))
+    return F.sum(opened).over(so_far) - F.when(F.col("ts_us").isNull(), 0).otherwise(gone)
 
 
 def with_rolling_features(

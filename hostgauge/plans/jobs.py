@@ -112,7 +112,7 @@ def train(train_events: DataFrame, validation_events: DataFrame, out_dir: str, o
     thresholds = save_table(entity_thresholds(per_entity, *percentiles), out_dir, "thresholds")
     g = global_thresholds(overall, *percentiles).first()
     nan = float("nan")
-    low, high, n = (g["low"], g["high"], g["n_scores"]) if g else (nan, nan, 0)
+    low, high, n = (g["low"], g["high"], g["n_scores"]) if g["n_scores"] else (nan, nan, 0)
     meta = Meta(
         psi=fitted.forest.psi, offset=fitted.forest.offset, global_low=low, global_high=high, global_n_scores=n,
         user_col=o.user_col, host_col=o.host_col, group_mode=o.group_mode,

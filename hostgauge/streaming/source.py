@@ -56,4 +56,5 @@ def arriving_events(
         events = without_collectors(events, collectors)
     if sessions is not None:
         events = remote_sessions_only(events, sessions)
-    return with_clock(events)
+    # an event without time counts from when its message came in
+    return with_clock(events).withColumn("ts_us", F.coalesce("ts_us", F.unix_micros("ingest_ts")))
