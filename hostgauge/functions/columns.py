@@ -1,4 +1,4 @@
-"""JSON text to variants."""
+"""Column helpers: JSON text to variants, and columns computed once."""
 
 from __future__ import annotations
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostgauge.fixed_values import ARGS_PATTERNS, LEGACY_FEATURES, NAME_LEXICONS
-from hostgauge.functions.json_text import whole_json
+from hostgauge.functions.columns import whole_json
 from hostgauge.schemas import present
 
 

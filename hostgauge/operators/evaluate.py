@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostgauge.fixed_values import SWEEP_FROM, SWEEP_STEPS, SWEEP_TO
 from hostgauge.operators.filters import require_labels
-from hostgauge.operators.ordered import bin_by, quantile_array, rank_curve
+from hostgauge.operators.ordered import bin_by, quantile_array, rank_curve, side_by_side
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -72,14 +72,6 @@ def ranking(df: DataFrame, score: str = "normality_score", label: str = "evil")
     )
 
 
-def _beside(*one_row: DataFrame) -> DataFrame:
-    """Several one-row results as one row."""
-    out = one_row[0].withColumn("_one", F.lit(1))
-    for other in one_row[1:]:
-        out = out.join(other.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
-
-
 def test_report(df: DataFrame, score: str = "normality_score") -> DataFrame:
     """One row: size, positives, both confusions with their metrics, ranking."""
     require_labels(df)
@@ -90,7 +82,7 @@ def test_report(df: DataFrame, score: str = "normality_score") -> DataFrame:
         *_cells(F.col("severity") >= 2, "high_"),
     )
     counts = _with_metrics(_with_metrics(counts, "any_"), "high_")
-    return _beside(counts, ranking(df, score))
+    return side_by_side(counts, ranking(df, score))
 
 
 def validation_report(df: DataFrame, score: str = "normality_score") -> DataFrame:
@@ -101,7 +93,7 @@ def validation_report(df: DataFrame, score: str = "normality_score") -> DataFram
         F.coalesce(F.sum("evil"), F.lit(0)).cast("bigint").alias("evil_count"),
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"),
     )
-    return _beside(size, ranking(df, score))
+    return side_by_side(size, ranking(df, score))
 
 
 def sweep(df: DataFrame, score: str = "normality_score", steps: int = SWEEP_STEPS) -> DataFrame:
@@ -152,4 +144,4 @@ def single_threshold_report(df: DataFrame, threshold: float, score: str = "norma
     require_labels(df)
     counts = df.agg(F.count(F.lit(1)).alias("n"), *_cells(F.col(score) < threshold))
     counts = _with_metrics(counts).withColumns({"threshold": F.lit(float(threshold)), "name": F.lit(name)})
-    return _beside(counts, ranking(df, score))
+    return side_by_side(counts, ranking(df, score))

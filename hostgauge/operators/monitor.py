@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostgauge.fixed_values import DRIFT_MIN_SAMPLE, DRIFT_SAMPLE, LOW_PERCENTILE
-from hostgauge.operators.ordered import first_rows
+from hostgauge.operators.ordered import first_rows, side_by_side
 from hostgauge.session import lookup_side
 
 HOUR_US = 3_600_000_000
@@ -90,7 +90,7 @@ def run_counters(scores: DataFrame, forwarded: DataFrame) -> DataFrame:
     s = scores.groupBy("hostname").agg(F.count(F.lit(1)).alias("n"))
     total = s.agg(F.sum("n").alias("events_processed"), F.count(F.lit(1)).alias("hosts"))
     sent = forwarded.agg(F.count(F.lit(1)).alias("events_forwarded"))
-    return total.withColumn("_1", F.lit(1)).join(sent.withColumn("_1", F.lit(1)), "_1").drop("_1")
+    return side_by_side(total, sent)
 
 
 def with_username(df: DataFrame, accounts: DataFrame, hints: DataFrame | None = None) -> DataFrame:

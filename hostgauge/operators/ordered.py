@@ -12,7 +12,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BINS_PER_OCTAVE = 4096
+from hostgauge.functions.columns import once
+from hostgauge.session import lookup_side, materialize
+
+BINS_PER_OCTAVE = 1024
 _OCTAVES = 1100  # more than the exponents of a double
 
 
@@ -45,17 +48,18 @@ def quantile_array(
 ) -> DataFrame:
     """``quantiles``, the linearly interpolated quantiles in the order of ``probs``, and ``n``.
 
-    ``groups`` must not be null. Equal values are counted first, then only the
-    bins that hold a wanted rank are sorted. Without groups there is always one
-    row, of nulls and 0 if there are no values.
+    ``groups`` must not be null. A first pass counts rows per bin, a second one
+    takes only the rows of the few bins that hold a wanted rank; give it a stored
+    table, as it is read twice. Without groups there is always one row, of nulls
+    and 0 if there are no values.
     """
     groups = groups or []
     v = F.col(value)
     # 0.0 and -0.0 are one value
     values = df.where(v.isNotNull() & ~F.isnan(v)).select(*groups, (v + F.lit(0.0)).alias("_v"))
-    counted = values.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_bin", value_bin(F.col("_v")))
+    values = values.withColumn("_bin", value_bin(F.col("_v")))
 
-    per_bin = counted.groupBy(*groups, "_bin").agg(F.sum("_c").alias("_c"))
+    per_bin = values.groupBy(*groups, "_bin").agg(F.count(F.lit(1)).alias("_c"))
     up_to = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*groups)
     per_bin = per_bin.withColumns({"_end": F.sum("_c").over(up_to), "_n": F.sum("_c").over(whole)})
@@ -65,22 +69,26 @@ def quantile_array(
         position = p * (F.col("_n") - 1)
         return F.array(F.floor(position), F.ceil(position))
 
-    ranks = F.array_distinct(F.flatten(F.transform(wishes, around)))
+    ranks = F.flatten(F.transform(wishes, around))
     start = F.col("_end") - F.col("_c")
     wanted = per_bin.select(
         *groups,
         "_bin",
         "_n",
         start.alias("_start"),
-        F.filter(ranks, lambda r: (r >= start) & (r < F.col("_end"))).alias("_ranks"),
+        once(F.array_distinct(F.filter(ranks, lambda r: (r >= start) & (r < F.col("_end"))))).alias("_ranks"),
     ).where(F.size("_ranks") > 0)
-    if not groups:
-        # at most two rows per wanted quantile
-        wanted = F.broadcast(wanted)
+    # At most two rows per wanted quantile and group. Stored and counted, it is
+    # broadcast unless there are very many groups, and the other rows go no further.
+    wanted = lookup_side(materialize(wanted))
 
+    # equal values count as one row, so a value that most rows share costs nothing
+    counted = values.join(wanted, [*groups, "_bin"]).groupBy(*groups, "_bin", "_v").agg(
+        F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("_n", "_start", "_ranks")]
+    )
     inside = Window.partitionBy(*groups, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picks = (
-        counted.join(wanted, [*groups, "_bin"])
+        counted
         .withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
         .withColumn("_r", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_c")) & (r < F.col("_end")))))
     )
@@ -130,15 +138,15 @@ def first_rows(
 ) -> DataFrame:
     """The first ``k`` rows of each group (or overall) in the given total order.
 
-    ``order_bin`` must not fall along ``order``; bins past the cut are dropped
-    before anything is shuffled by row. ``groups`` must not be null.
+    ``order_bin`` must not fall along ``order``; bins past the cut are found from
+    counts and dropped before rows are shuffled. ``groups`` must not be null.
     """
     groups = groups or []
     rows = df.withColumn("_bin", order_bin)
     per_bin = rows.groupBy(*groups, "_bin").agg(F.count(F.lit(1)).alias("_c"))
     up_to = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     start = F.sum("_c").over(up_to) - F.col("_c")
-    kept = per_bin.withColumn("_start", start).where(F.col("_start") < k).drop("_c")
+    kept = lookup_side(materialize(per_bin.withColumn("_start", start).where(F.col("_start") < k).drop("_c")))
     within = Window.partitionBy(*groups, "_bin").orderBy(*order)
     return (
         rows.join(kept, [*groups, "_bin"])
@@ -168,6 +176,14 @@ def with_random_rank(df: DataFrame, key: list[str], seed: int, rank: str = "rank
     return out.drop("_h", "_bin", "_start")
 
 
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """Several one-row results as one row."""
+    stacked = one_row[0]
+    for other in one_row[1:]:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def bin_by(value: Column, cuts: list[float]) -> Column:
     """How many of the rising ``cuts`` are <= value, as nested comparisons."""
 

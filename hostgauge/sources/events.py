@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from hostgauge.functions.json_text import whole_json
+from hostgauge.functions.columns import whole_json
 from hostgauge.operators.filters import complete
 from hostgauge.schemas import EVENT_COLUMNS, EVENT_SCHEMA, NUMERIC_COLUMNS, conform
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hostgauge.fixed_values import (
     AUDIT_KV_NAMES, AUDIT_KV_PATTERN, AUDIT_KV_TIME_PATTERN, AUDIT_SYSCALL_PATTERN, AUDIT_TIME_PATTERN,
 )
-from hostgauge.functions.json_text import once, whole_json
+from hostgauge.functions.columns import once, whole_json
 from hostgauge.functions.text import iso_to_micros
 from hostgauge.schemas import EVENT_SCHEMA
 from hostgauge.sources.dictionary import unnamed, with_event_id, with_event_name
