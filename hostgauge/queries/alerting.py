@@ -117,7 +117,7 @@ m AS (SELECT epoch_us(ts) AS ts_us, 'host-' || (user_id % 9) AS hostname, user_i
 
 @query("alert_history", WINDOWS + f""", {_MANUAL}
 SELECT ts_us, hostname, user_id, "trigger" FROM a
-UNION ALL SELECT m.* FROM m WHERE hostname IN (SELECT hostname FROM u)
+UNION ALL SELECT m.* FROM m WHERE hostname IN (SELECT hostName FROM g)
 """)
 def alert_history(spark, sf_dir):
     """Automatic and manual alerts, newest first; requests for unknown hosts are refused."""
