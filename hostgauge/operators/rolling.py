@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hostgauge.fixed_values import FEATURE_WINDOW_S, SERVING_GAP_S
 from hostgauge.schemas import PROCESS_KEY, present
 
-# Bucket length in windows: copies are about 1/BUCKET_WINDOWS of the rows.
+# Bucket length, in lengths of what frames reach back to: the copies are about
+# 1/BUCKET_WINDOWS of the rows. A bucket of the short feature window is longer,
+# as each bucket also costs a row for the event before it.
 BUCKET_WINDOWS = 12
+FEATURE_BUCKET_WINDOWS = 60
 
 
 def with_halo(df: DataFrame, reach_us: int, bucket_us: int, ts: str = "ts_us") -> DataFrame:
@@ -69,7 +72,7 @@ def with_rolling_features(
     window_s: float = FEATURE_WINDOW_S,
     max_gap_s: float | None = None,
     keys: list[str] = PROCESS_KEY,
-    bucket_windows: int = BUCKET_WINDOWS,
+    bucket_windows: int | None = None,
 ) -> DataFrame:
     """``syscall_rate_5s``, ``unique_syscalls_5s``, ``failed_call_ratio_5s`` and
     ``inter_arrival_ms`` for each event, over the trailing ``window_s`` seconds.
@@ -89,7 +92,7 @@ def with_rolling_features(
     w = int(window_s * 1_000_000)
     gap = None if max_gap_s is None else int(max_gap_s * 1_000_000)
     reach = max(w, gap or 0)
-    bucket_us = reach * bucket_windows
+    bucket_us = reach * (bucket_windows or (FEATURE_BUCKET_WINDOWS if gap is None else BUCKET_WINDOWS))
 
     rows = with_halo(df, reach, bucket_us)
     if gap is None:

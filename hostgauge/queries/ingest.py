@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hostgauge.functions.columns import once
 from hostgauge.operators import filters
 from hostgauge.queries.registry import S, T, graded_sql, query
 from hostgauge.schemas import EVENT_COLUMNS
@@ -81,7 +82,7 @@ def probe_lines(e: DataFrame) -> DataFrame:
     kind = F.col("seq") % 5
     line = F.when(kind == 0, plain).when(kind == 1, wrapped).when(kind == 2, legacy).when(kind == 3, flat).otherwise(junk)
     ingested = F.timestamp_micros(F.col("ts_us") + 1_000_000)
-    return e.select("seq", F.concat(F.lit("  "), line).alias("value"), ingested.alias("ingest_ts"))
+    return e.select("seq", once(F.concat(F.lit("  "), line)).alias("value"), ingested.alias("ingest_ts"))
 
 
 @query("probe_json_ingest", f"""
@@ -136,7 +137,7 @@ def audit_lines(e: DataFrame) -> DataFrame:
         F.lit(" auid="), (F.col("userId") + 1000).cast("string"),
         F.lit(" uid="), F.col("userId").cast("string"), F.lit(" gid=33"), comm,
     )
-    return e.select("seq", line.alias("value"), F.timestamp_micros(F.col("ts_us") + 1_000_000).alias("ingest_ts"))
+    return e.select("seq", once(line).alias("value"), F.timestamp_micros(F.col("ts_us") + 1_000_000).alias("ingest_ts"))
 
 
 @query("auditd_ingest", f"""

@@ -7,11 +7,13 @@ doubles rows. The next stage reads the folders as a stream.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from hostgauge.fixed_values import DRIFT_SAMPLE
 from hostgauge.functions.event_features import entity_key, with_scalar_features, zero_if_null
 from hostgauge.functions.text import trigger_text
 from hostgauge.operators.model_stats import with_frequencies
@@ -103,9 +105,20 @@ def start_scoring(
     events: DataFrame, model: Model, scores_path: str, checkpoint: str, trigger: dict = TRIGGER,
     drift_path: str | None = None, feed_path: str | None = None, **options,
 ) -> StreamingQuery:
-    """Events to the score table; on request also anomalies to a feed and drift figures."""
+    """Events to the score table; on request also to a feed and drift figures."""
     spark = events.sparkSession
     prepare(spark, scores_path, SCORE_TABLE)
+    written: deque[tuple[int, int]] = deque()  # (batch_id, rows) of the batches that hold the drift sample
+
+    def recent_scores(batch_id: int) -> DataFrame:
+        """The folders that surely hold the newest scores; all while too few were written."""
+        scores = read_table(spark, scores_path, SCORE_TABLE)
+        written.append((batch_id, scores.where(F.col("batch_id") == batch_id).count()))
+        while sum(n for _, n in written) - written[0][1] >= DRIFT_SAMPLE:
+            written.popleft()
+        if sum(n for _, n in written) < DRIFT_SAMPLE:
+            return scores
+        return scores.where(F.col("batch_id") >= written[0][0])
 
     def each(batch: DataFrame, batch_id: int) -> None:
         # the stored rows feed the other outputs, so the state is run once
@@ -114,9 +127,8 @@ def start_scoring(
             stored = spark.read.schema(SCORE_TABLE).parquet(f"{scores_path}/batch_id={batch_id}")
             write_batch(stored, feed_path, batch_id)
         if drift_path:
-            scores = read_table(spark, scores_path, SCORE_TABLE)
             g = model.meta.overall
-            write_batch(drift(scores, g["low"], g["high"], model.meta.low_percentile), drift_path, batch_id)
+            write_batch(drift(recent_scores(batch_id), g["low"], g["high"], model.meta.low_percentile), drift_path, batch_id)
 
     return _start(score_stream(events, model, **options), each, checkpoint, trigger)
 

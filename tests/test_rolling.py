@@ -51,7 +51,7 @@ def got(df):
     return {r["seq"]: tuple(r[c] for c in COLS) for r in df.select("seq", *COLS).collect()}
 
 
-@pytest.mark.parametrize("seed,bucket_windows,parts", [(1, 12, 3), (2, 1, 7), (3, 2, 1)])
+@pytest.mark.parametrize("seed,bucket_windows,parts", [(1, 12, 3), (2, 1, 7), (3, 2, 1), (2, None, 4)])
 def test_training_features(spark, seed, bucket_windows, parts):
     rows = random_rows(seed, spread=[400, 4000, 60][seed - 1])
     df = as_events(spark, rows).repartition(parts, F.rand(seed))
