@@ -31,14 +31,30 @@ def _layout(df: DataFrame, columns: dict[str, Column], *keep: str) -> DataFrame:
 
 # -- probe JSON -----------------------------------------------------------------------
 
+_EVENT_KEYS = [
+    "eventName", "event_name", "eventId", "event_id", "args", "arguments", "returnValue", "return_value", "retval",
+    "timestamp", "ts", "context", "processContext", "processId", "pid", "threadId", "tid", "parentProcessId", "ppid",
+    "userId", "uid", "mountNamespace", "mntNS", "processName", "comm", "hostName", "stackAddresses", "stack",
+    "syscall", "mnt_ns", "ret",
+]
+_CONTEXT_KEYS = [
+    "pid", "processId", "tid", "threadId", "ppid", "parentProcessId", "uid", "userId", "mntNS", "mountNamespace",
+    "processName", "comm",
+]
+
 
 def _has(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
 
 
-def _first_of(v: Column, *keys: str) -> Column:
+def _members(v: Column, keys: list[str]) -> Column:
+    """The named members of a JSON object as a struct, taken apart once."""
+    return F.try_variant_get(v, "$", "struct<" + ", ".join(f"{k}: variant" for k in keys) + ">")
+
+
+def _first_of(members: Column, *keys: str) -> Column:
     """The value under the first key that exists, even if that value is null."""
-    return F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in keys])
+    return F.coalesce(*[members[k] for k in keys])
 
 
 def _text(v: Column) -> Column:
@@ -87,7 +103,7 @@ def ingest_probe_json(
     rows = (
         parsed.withColumn("_shape", shape)
         .where(F.col("_shape").isNotNull())
-        .withColumn("_e", F.when(plain | (F.col("_shape") == "legacy"), line).otherwise(wrapped))
+        .withColumn("_e", once(_members(F.when(plain | (F.col("_shape") == "legacy"), line).otherwise(wrapped), _EVENT_KEYS)))
     )
     e = F.col("_e")
     legacy = F.col("_shape") == "legacy"
@@ -96,10 +112,11 @@ def ingest_probe_json(
         "_args": F.when(legacy, _first_of(e, "args")).otherwise(_first_of(e, "args", "arguments")),
         "_time": F.when(legacy, _first_of(e, "timestamp")).otherwise(_first_of(e, "timestamp", "ts")),
     })
-    ctx = F.col("_ctx")
+    raw_ctx, ctx = F.col("_ctx"), F.col("_c")
     # The process context is used when it is an object or absent; a context of
     # another kind is ignored in favour of the event's own short names.
-    rows = rows.withColumn("_with_ctx", ctx.isNull() | _is_object(ctx))
+    rows = rows.withColumn("_c", once(_members(raw_ctx, _CONTEXT_KEYS)))
+    rows = rows.withColumn("_with_ctx", raw_ctx.isNull() | ctx.isNotNull())
     with_ctx = F.col("_with_ctx")
 
     def who(ctx_keys: tuple, top_key: str, bare_keys: tuple, legacy_key: str) -> Column:
@@ -122,7 +139,9 @@ def ingest_probe_json(
     legacy_args = F.coalesce(F.to_json("_args"), F.lit("[]"))
     returned = _first_of(e, "returnValue", "return_value", "retval")
     returned = F.when(F.try_variant_get(returned, "$", "double").isNotNull() & (F.schema_of_variant(returned) != "STRING"), _whole(returned)).otherwise(0)
-    host = F.coalesce(_text(F.when(with_ctx, _first_of(ctx, "hostName", "hostname")).otherwise(_first_of(e, "hostName"))), F.lit(default_host))
+    # two names that differ in case only, so they cannot be members of one struct
+    ctx_host = F.coalesce(*[F.try_variant_get(raw_ctx, f"$.{k}", "variant") for k in ("hostName", "hostname")])
+    host = F.coalesce(_text(F.when(with_ctx, ctx_host).otherwise(_first_of(e, "hostName"))), F.lit(default_host))
     time_text = _text(F.col("_time"))
     seconds = F.coalesce(time_text.try_cast("double") * time_unit, iso_to_micros(time_text) / 1_000_000)
     stack = _first_of(e, "stackAddresses", "stack")
