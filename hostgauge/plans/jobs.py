@@ -15,7 +15,7 @@ from hostgauge.functions.event_features import entity_key, legacy_vector
 from hostgauge.functions.severity import apply_cap, capped_at, is_anomaly, malicious_pred
 from hostgauge.operators import evaluate
 from hostgauge.operators.filters import benign, complete
-from hostgauge.operators.isolation_forest import Forest, fit, normality_score, subsample_size
+from hostgauge.operators.isolation_forest import Forest, fit, normality_score
 from hostgauge.operators.model_stats import (
     capped_per_entity, entity_thresholds, frequency_tables, global_thresholds, override_global, scaled, scaler_dict,
     scaler_statistics, with_severity, with_thresholds,
@@ -249,5 +249,5 @@ def train_per_host(train_events: DataFrame, validation_events: DataFrame, out_di
 
 __all__ = [
     "TrainOptions", "train", "train_legacy", "train_per_host", "predict", "test", "test_legacy", "live_grades",
-    "graded", "load_model", "subsample_size",
+    "graded", "load_model",
 ]
