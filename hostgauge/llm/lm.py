@@ -22,11 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
-from tokenizers import Tokenizer
 
 from hostgauge.llm.attention import Attention, Trainer, Vocabulary, lay_out
 from hostgauge.llm.common import crc_mod, words
-from hostgauge.llm.subwords import vocabulary_path
+from hostgauge.llm.subwords import Subwords, vocabulary_path
 from hostgauge.session import materialize
 
 FOLDS = 10
@@ -47,8 +46,7 @@ class Speller:
     """Words to places of subword ids, each distinct word looked up once."""
 
     def __init__(self, path: str, vocabulary: Vocabulary, counts: dict[bytes, int]):
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._subwords = Subwords(path)
         self._vocabulary, self._counts = vocabulary, counts
         self.end = len(vocabulary.place) - 1
         self._clear()
@@ -63,7 +61,7 @@ class Speller:
         self.count = np.empty(1 << 14, np.int64)  # -1: not among the words known to all
 
     def _add(self, missing: list[bytes]) -> None:
-        ids = [e.ids for e in self._tokenizer.encode_batch_fast([" " + w.decode() for w in missing], add_special_tokens=False)]
+        ids = self._subwords.of_words(missing)
         if missing[-1] == END:
             ids[-1] = [self.end]
         flat = np.fromiter((i for e in ids for i in e), np.int64)
@@ -199,13 +197,13 @@ def _id_counts(counts: DataFrame, path: str, size: int) -> np.ndarray:
     """How often each subword id stands in the training texts, by way of the counts of words."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        subwords = Subwords(path)
         total = np.zeros(size, np.int64)
         for batch in batches:
             found, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for w, k, e in zip(found, n, tokenizer.encode_batch_fast([" " + w.decode() for w in found], add_special_tokens=False)):
-                np.add.at(total, [size - 1] if w == END else e.ids, k)
+            for w, k, ids in zip(found, n, subwords.of_words(found)):
+                for i in [size - 1] if w == END else ids:
+                    total[i] += k
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
@@ -284,9 +282,8 @@ def score_texts(
     keep = keep or [doc_id]
     spark = docs.sparkSession
     path = vocabulary_file or vocabulary_path()
-    tokenizer = Tokenizer.from_file(path)
-    size = tokenizer.get_vocab_size()  # the last id, of a special token, stands for the end
-    begins = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size - 1)] + [True])
+    begins = np.append(Subwords(path).begins_word(), True)
+    size = len(begins)  # one id more than the vocabulary's stands for the end
 
     train = docs.where(crc_mod(doc_id, FOLDS) != 0)
     counts = materialize(_counted(train, text))

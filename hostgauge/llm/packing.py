@@ -99,7 +99,7 @@ def pack(
             kept = [batch.column(i).to_pylist() for i in range(n_keep)]
             texts = batch.column(n_keep)
             for r in range(batch.num_rows):
-                ids = np.append(subwords.ids(texts[r].as_py()), np.uint32(END)).astype("<u4")
+                ids = np.append(subwords.ids(texts[r].as_py()), np.uint32(END)).astype("<u4", copy=False)
                 own = tuple(k[r] for k in kept)
                 data, n, start = memoryview(ids).cast("B"), len(ids), 0
                 for length in cut(n, capacity):
