@@ -19,7 +19,7 @@ import numpy as np
 BLOCK = 16
 WIDTH, HIDDEN = 16, 32
 GROUPS, PLACES = 32, 32
-FIRST = 16  # groups of ids that begin a word (or end the text); the others hold what goes on a word
+FIRST = 12  # groups of ids that begin a word (or end the text); the others hold what goes on a word
 HALVES = ((0, FIRST * PLACES), (FIRST * PLACES, GROUPS * PLACES))  # the last place of each is that of its rare ids
 PAD = GROUPS * PLACES  # nothing: before a document, after its end
 _FAR, _MOST, _LEAST = np.float32(-1e9), np.float32(60), np.float32(1e-30)
@@ -128,7 +128,9 @@ class Attention:
         sight += t["bias"]
         np.minimum(sight, _MOST, out=sight)
         np.exp(sight, out=sight)
-        sight *= (windows != PAD)[:, None, :]
+        padded = windows == PAD
+        edge = np.flatnonzero(padded.any(1))
+        sight[edge] *= ~padded[edge][:, None, :]
         total = np.matmul(sight, _ONES)
         total += _LEAST  # a query of padding sees nothing
         seen = np.matmul(sight, values)
@@ -223,7 +225,7 @@ def _add_up(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def _log_share(logits: np.ndarray, wanted: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log of the wanted one's share of the exponentials; these, and their sum."""
-    np.clip(logits, -_MOST, _MOST, out=logits)
+    np.minimum(logits, _MOST, out=logits)
     chosen = logits[:, wanted].copy() if isinstance(wanted, int) else logits[np.arange(len(wanted)), wanted]
     np.exp(logits, out=logits)
     total = logits @ _ONES[: logits.shape[1], 0]

@@ -17,6 +17,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,50 +30,62 @@ from hostgauge.llm.subwords import Subwords, vocabulary_path
 from hostgauge.session import materialize
 
 FOLDS = 10
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 END = b"\n"  # no word holds it
 WORDS = 200_000  # words whose counts every task knows, at most; the others' counts are joined
 SAMPLE = 2000  # documents of the warm-up
-RUN, EVERY = 40, 1600  # a run of 40 words out of every 1,600 words (or fewer) of a training document
+RUN, EVERY = 24, 1600  # a run of 24 words out of every 1,600 words (or fewer) of a training document
 WARM_EVERY = 160  # the same in the sample of the warm-up
 FITTED = 10  # one sample document in so many fits the mix and is not warmed up on
 WARM_EPOCHS, BATCH, RATE, ROUND_RATE = 8, 32, 0.012, 0.003
-_FLUSH = 300_000  # distinct words that a task counts before it hands them on
+_FLUSH = 600_000  # distinct words that a task counts before it hands them on
 _TOKENS = 40_000  # ids laid out together
 _WINDOWS = 2048  # windows scored together
-_KNOWN = 600_000  # words whose ids a task remembers
+_KNOWN = 800_000  # words whose ids a task remembers
 
 
 class Speller:
     """Words to places of subword ids, each distinct word looked up once."""
 
-    def __init__(self, path: str, vocabulary: Vocabulary, counts: dict[bytes, int]):
+    def __init__(self, path: str, vocabulary: Vocabulary, counts: dict[bytes, int], ready: tuple | None = None):
         self._subwords = Subwords(path)
-        self._vocabulary, self._counts = vocabulary, counts
+        self._vocabulary, self._counts, self._ready = vocabulary, counts, ready
         self.end = len(vocabulary.place) - 1
         self._clear()
 
     def _clear(self) -> None:
-        self._at: dict[bytes, int] = {}
-        self.places = np.empty(1 << 16, np.int32)  # of all words, one after the other
-        self.used = 0
-        self.begin = np.empty(1 << 14, np.int64)
-        self.length = np.empty(1 << 14, np.int64)
-        self.share = np.empty(1 << 14, np.float64)  # of rare ids among those of their place
-        self.count = np.empty(1 << 14, np.int64)  # -1: not among the words known to all
+        """Back to the words known to all, spelled once by ``ready``."""
+        self._at: dict[bytes, int] = dict(zip(self._counts, range(len(self._counts)))) if self._ready else {}
+        # places: of all words one after the other; share: of rare ids among those of their place;
+        # count: -1 if the word is not among those known to all
+        empty = (np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        self.places, self.begin, self.length, self.share, self.count = self._ready or empty
+        self.used = len(self.places)
+
+    def ready(self) -> tuple:
+        """What tasks need to start with all known words spelled."""
+        fresh = Speller.__new__(Speller)
+        fresh.__dict__.update(self.__dict__, _ready=None)
+        fresh._clear()
+        if self._counts:
+            fresh._add(list(self._counts))
+        n = len(self._counts)
+        return fresh.places[: fresh.used], fresh.begin[:n], fresh.length[:n], fresh.share[:n], fresh.count[:n]
 
     def _add(self, missing: list[bytes]) -> None:
         ids = self._subwords.of_words(missing)
-        if missing[-1] == END:
-            ids[-1] = [self.end]
-        flat = np.fromiter((i for e in ids for i in e), np.int64)
+        if END in missing:
+            ids[missing.index(END)] = [self.end]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
         n, m = len(self._at), len(missing)
         for name in ("begin", "length", "share", "count"):
             old = getattr(self, name)
             if n + m > len(old):
-                setattr(self, name, np.concatenate([old[:n], np.empty(max(len(old), m) + m, old.dtype)]))
+                setattr(self, name, np.concatenate([old[:n], np.empty(len(old) + 2 * m + 1024, old.dtype)]))
         if self.used + len(flat) > len(self.places):
-            self.places = np.concatenate([self.places[: self.used], np.empty(len(self.places) + len(flat), np.int32)])
+            more = np.empty(len(self.places) + 2 * len(flat) + 1024, np.int32)
+            self.places = np.concatenate([self.places[: self.used], more])
         self.places[self.used : self.used + len(flat)] = self._vocabulary.place[flat]
         ends = np.cumsum(sizes)
         self.begin[n : n + m] = self.used + ends - sizes
@@ -80,20 +93,22 @@ class Speller:
         self.share[n : n + m] = np.add.reduceat(self._vocabulary.share[flat].astype(np.float64), ends - sizes)
         self.count[n : n + m] = [self._counts.get(w, -1) for w in missing]
         self.used += len(flat)
-        for i, w in enumerate(missing):
-            self._at[w] = n + i
+        self._at.update(zip(missing, range(n, n + m)))
 
     def look_up(self, found: list[bytes]) -> np.ndarray:
         """Numbers of the words; good until the next call."""
         at = self._at
-        missing = [w for w in dict.fromkeys(found) if w not in at]
-        if missing and len(at) + len(missing) > _KNOWN:
+        numbers = np.fromiter(map(at.get, found, repeat(-1)), np.int64, len(found))
+        gaps = np.flatnonzero(numbers < 0)
+        if not len(gaps):
+            return numbers
+        missing = list(dict.fromkeys(map(found.__getitem__, gaps.tolist())))
+        if len(at) + len(missing) > _KNOWN and len(at) > len(self._counts):
             self._clear()
-            at, missing = self._at, list(dict.fromkeys(found))
-        if missing:
-            missing.sort(key=lambda w: w == END)  # the end, if new, last
-            self._add(missing)
-        return np.fromiter(map(at.__getitem__, found), np.int64, len(found))
+            return self.look_up(found)
+        self._add(missing)
+        numbers[gaps] = [at[found[i]] for i in gaps.tolist()]
+        return numbers
 
     def spell(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words one after the other, and where each word begins among them."""
@@ -281,7 +296,7 @@ def score_texts(
     """
     keep = keep or [doc_id]
     spark = docs.sparkSession
-    path = vocabulary_file or vocabulary_path()
+    path = vocabulary_file or vocabulary_path(VOCABULARY)
     begins = np.append(Subwords(path).begins_word(), True)
     size = len(begins)  # one id more than the vocabulary's stands for the end
 
@@ -321,23 +336,22 @@ def score_texts(
     model = _trained(train, text, model, path, vocabulary)
     mixed = _share_of_attention(Scorer(speller, model), fitted, n_train)
 
-    shared = spark.sparkContext.broadcast((model.flat, vocabulary, table))
+    shared = spark.sparkContext.broadcast((model.flat, vocabulary, table, speller.ready()))
     floor = n_train + 0.1 * (n_types + 1)
     source = docs.select(*keep, F.col(doc_id).alias("__id"), text)
     n_keep = len(keep) + 1
     out_schema = T.StructType([
         *source.schema.fields[:n_keep],
         *T.StructType.fromDDL(
-            "row bigint, n_tokens bigint, known bigint, base double, score double, rare array<struct<word: binary, m: bigint>>"
+            "row bigint, n_tokens bigint, known bigint, base double, score double, word array<binary>, m array<bigint>"
         ).fields,
     ])
     names = out_schema.fieldNames()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, voc, top = shared.value
-        scorer = Scorer(Speller(path, voc, top), Attention(flat))
+        flat, voc, top, ready = shared.value
+        scorer = Scorer(Speller(path, voc, top, ready), Attention(flat))
         row = TaskContext.get().partitionId() << 40
-        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())]))
 
         def out(batch, first, found):
             rows = []
@@ -347,10 +361,10 @@ def score_texts(
                     log_share = np.log(np.maximum(count, 0) * ((1 - mixed) / max(1, n_train)))
                 score = np.logaddexp(chance * math.log(10) + math.log(mixed), log_share).sum() / math.log(10)
                 base = float(np.log10((count[there] + 0.1) / floor).sum())
-                rare = Counter(d[i] for i in np.flatnonzero(~there).tolist())
+                rare = Counter(map(d.__getitem__, np.flatnonzero(~there).tolist()))
                 known_here = int((count > 0).sum())
-                rows.append((row + first + len(rows), len(d), known_here, base, float(score), [{"word": w, "m": m} for w, m in rare.items()]))
-            types = [pa.int64()] * 3 + [pa.float64()] * 2 + [rare_type]
+                rows.append((row + first + len(rows), len(d), known_here, base, float(score), list(rare), list(rare.values())))
+            types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.list_(pa.binary()), pa.list_(pa.int64())]
             own = batch.slice(first, len(found)).columns[:n_keep]
             return pa.RecordBatch.from_arrays([*own, *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=names)
 
@@ -367,12 +381,12 @@ def score_texts(
             row += batch.num_rows
 
     judged = materialize(source.mapInArrow(judge, out_schema))
-    rare = judged.select("row", F.inline("rare"))
+    rare = judged.select("row", F.inline(F.arrays_zip("word", "m")))
     log10 = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / floor)
     joined = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("m") * log10).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("rare_known")
     )
-    whole = judged.drop("rare").join(joined, "row", "left")
+    whole = judged.drop("word", "m").join(joined, "row", "left")
     return whole.select(
         *keep,
         (crc_mod("__id", FOLDS) == 0).alias("held_out"),
