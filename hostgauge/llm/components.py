@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round hangs every node below the smallest neighbour of its neighbours;
     a round that changes nothing ends it (a few rounds, as the logarithm of the
     longest path). Rounds are reliable checkpoints. Minima are combined before
-    the shuffle, and a hub's edges meet its minimum in a join that can split them.
+    the shuffle and stored, so that a hub's edges meet its minimum in a join that can split them.
     """
     a, b = F.col("a"), F.col("b")
     edges = edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
@@ -26,8 +26,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = edges.unionAll(edges.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(least)
         large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large)
+        below = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         pairs = F.array(F.struct(a.alias("a"), F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))
         small = large.join(below, "a").select(F.inline(pairs)).where(a != b).distinct()
         edges = materialize(small)

@@ -85,5 +85,6 @@ def exact_groups(
 
     rows = materialize(map_texts(docs, keep, [text], "recipe binary, text_sha256 string", recipe))
     groups = rows.groupBy("recipe").agg(F.max(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(groups)  # joined as a stored table, a group that holds very many rows can be split
     kept = F.col(doc_id).eqNullSafe(F.col("keep_id"))
     return rows.join(groups, "recipe").select(*keep, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
