@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BLOCK = 16
-WIDTH, HIDDEN = 16, 32
+WIDTH, HIDDEN = 16, 24
 GROUPS, PLACES = 32, 32
 FIRST = 12  # groups of ids that begin a word (or end the text); the others hold what goes on a word
 HALVES = ((0, FIRST * PLACES), (FIRST * PLACES, GROUPS * PLACES))  # the last place of each is that of its rare ids

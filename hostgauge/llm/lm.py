@@ -34,8 +34,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 END = b"\n"  # no word holds it
 WORDS = 200_000  # words whose counts every task knows, at most; the others' counts are joined
 SAMPLE = 2000  # documents of the warm-up
-RUN, EVERY = 24, 1600  # a run of 24 words out of every 1,600 words (or fewer) of a training document
-WARM_EVERY = 160  # the same in the sample of the warm-up
+RUN, EVERY = 20, 1600  # a run of 20 words out of every 1,600 words (or fewer) of a training document
+WARM_EVERY = 100  # the same in the sample of the warm-up
 FITTED = 10  # one sample document in so many fits the mix and is not warmed up on
 WARM_EPOCHS, BATCH, RATE, ROUND_RATE = 8, 32, 0.012, 0.003
 _FLUSH = 600_000  # distinct words that a task counts before it hands them on
@@ -118,6 +118,12 @@ class Speller:
         return self.places[at], starts
 
 
+def _cut(places: np.ndarray, starts: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """Places of runs of so many words each, from those of all their words together."""
+    firsts = np.cumsum([0, *sizes[:-1]])
+    return np.split(places, starts[firsts[1:]])
+
+
 class Scorer:
     """log10 probabilities of words by the attention model, whole documents at a time."""
 
@@ -125,28 +131,24 @@ class Scorer:
         self.speller, self.model, self.tables = speller, model, model.tables()
         self.start = int(speller._vocabulary.place[speller.end])
 
-    def score(self, documents: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per document (words with the end last): each word's log10 chance and its known count."""
-        spelled, numbers = [], []
-        for d in documents:
-            n = self.speller.look_up(d)
-            spelled.append((*self.speller.spell(n), self.speller.share[n], self.speller.count[n]))
-            numbers.append(n)
-        windows, targets, real = lay_out([s[0] for s in spelled], [self.start] * len(spelled))
+    def score(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words of the documents (each with the end last) in order: log10 chance and
+        known count; and the number of the first word of each document."""
+        sizes = list(map(len, documents))
+        numbers = self.speller.look_up(list(chain.from_iterable(documents)))
+        places, starts = self.speller.spell(numbers)
+        windows, targets, real = lay_out(_cut(places, starts, sizes), [self.start] * len(documents))
         parts = [
             self.model.log10(windows[a : a + _WINDOWS], targets[a : a + _WINDOWS], real[a : a + _WINDOWS], self.tables)
             for a in range(0, len(windows), _WINDOWS)
         ]
         found = np.concatenate(parts).astype(np.float64)
-        out, at = [], 0
-        for places, starts, share, count in spelled:
-            own = found[at : at + len(places)]
-            at += len(places)
-            begins = own[starts, 1]  # chance that the word before ended, which is that one's
-            chance = np.add.reduceat(own[:, 0], starts) + share - begins
-            chance[:-1] += begins[1:]
-            out.append((chance, count))
-        return out
+        begins = found[starts, 1]  # chance that the word before ended, which is that one's
+        chance = np.add.reduceat(found[:, 0], starts) + self.speller.share[numbers] - begins
+        firsts = np.cumsum([0, *sizes[:-1]])
+        begins[firsts] = 0.0  # nothing stands before a document
+        chance[:-1] += begins[1:]
+        return chance, self.speller.count[numbers], firsts
 
 
 def runs(found: list[bytes], every: int = EVERY) -> list[tuple[bytes | None, list[bytes]]]:
@@ -161,11 +163,13 @@ def runs(found: list[bytes], every: int = EVERY) -> list[tuple[bytes | None, lis
 
 
 def _batches(speller: Speller, taken: list[tuple[bytes | None, list[bytes]]]) -> Iterator[tuple]:
-    start = int(speller._vocabulary.place[speller.end])
+    """Laid out for training; the first input of a run is the last id of the word before (or the end)."""
     for a in range(0, len(taken), BATCH):
         part = taken[a : a + BATCH]
-        before = [start if b is None else int(speller.spell(speller.look_up([b]))[0][-1]) for b, _ in part]
-        yield lay_out([speller.spell(speller.look_up(w))[0] for _, w in part], before)
+        all_words = [w for before, run in part for w in (END if before is None else before, *run)]
+        places, starts = speller.spell(speller.look_up(all_words))
+        inputs = _cut(places, starts, [1 if i % 2 == 0 else len(part[i // 2][1]) for i in range(2 * len(part))])
+        yield lay_out(inputs[1::2], [int(x[-1]) for x in inputs[::2]])
 
 
 def _counted(train: DataFrame, text: str) -> DataFrame:
@@ -229,12 +233,13 @@ def _id_counts(counts: DataFrame, path: str, size: int) -> np.ndarray:
     return out
 
 
-def _trained(train: DataFrame, text: str, start: Attention, path: str, vocabulary: Vocabulary) -> Attention:
+def _trained(train: DataFrame, text: str, start: Attention, path: str, vocabulary: Vocabulary, table: dict, ready: tuple) -> Attention:
     """One round over all training texts: tasks train on from ``start``, weights are averaged by ids seen."""
-    flat = train.sparkSession.sparkContext.broadcast(start.flat)
+    shared = train.sparkSession.sparkContext.broadcast((start.flat, vocabulary, table, ready))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller, model = Speller(path, vocabulary, {}), Attention(flat.value)
+        flat, voc, top, spelled = shared.value
+        speller, model = Speller(path, voc, top, spelled), Attention(flat)
         trainer, waiting, seen = Trainer(model, ROUND_RATE), [], 0
         for batch in batches:
             for t in batch.column(0):
@@ -270,11 +275,9 @@ def _share_of_attention(scorer: Scorer, sample: list[list[bytes]], total: int) -
     """
     chance, share = [], []
     for a in range(0, len(sample), 64):
-        for log, count in scorer.score([d + [END] for d in sample[a : a + 64]]):
-            chance.append(10.0 ** log)
-            share.append(np.maximum(count - 1, 0) / max(1, total))
-    if not chance or not total:
-        return 1.0
+        log, count, _ = scorer.score([d + [END] for d in sample[a : a + 64]])
+        chance.append(10.0**log)
+        share.append(np.maximum(count - 1, 0) / max(1, total))
     p, q, w = np.concatenate(chance), np.concatenate(share), 0.5
     for _ in range(50):
         w = float(np.mean(w * p / (w * p + (1 - w) * q + 1e-300)))
@@ -333,7 +336,7 @@ def score_texts(
         trainer.rate = RATE / (1 + epoch)
         for b in _batches(speller, [taken[i] for i in rng.permutation(len(taken))]):
             trainer.learn(*b)
-    model = _trained(train, text, model, path, vocabulary)
+    model = _trained(train, text, model, path, vocabulary, table, speller.ready())
     mixed = _share_of_attention(Scorer(speller, model), fitted, n_train)
 
     shared = spark.sparkContext.broadcast((model.flat, vocabulary, table, speller.ready()))
@@ -354,19 +357,23 @@ def score_texts(
         row = TaskContext.get().partitionId() << 40
 
         def out(batch, first, found):
-            rows = []
-            for d, (chance, count) in zip(found, scorer.score(found)):
-                there = count >= 0
-                with np.errstate(divide="ignore"):
-                    log_share = np.log(np.maximum(count, 0) * ((1 - mixed) / max(1, n_train)))
-                score = np.logaddexp(chance * math.log(10) + math.log(mixed), log_share).sum() / math.log(10)
-                base = float(np.log10((count[there] + 0.1) / floor).sum())
-                rare = Counter(map(d.__getitem__, np.flatnonzero(~there).tolist()))
-                known_here = int((count > 0).sum())
-                rows.append((row + first + len(rows), len(d), known_here, base, float(score), list(rare), list(rare.values())))
-            types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.list_(pa.binary()), pa.list_(pa.int64())]
-            own = batch.slice(first, len(found)).columns[:n_keep]
-            return pa.RecordBatch.from_arrays([*own, *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=names)
+            chance, count, firsts = scorer.score(found)
+            there = count >= 0
+            with np.errstate(divide="ignore"):
+                log_share = np.log(np.maximum(count, 0) * ((1 - mixed) / max(1, n_train)))
+            score = np.logaddexp(chance * math.log(10) + math.log(mixed), log_share) / math.log(10)
+            base = np.where(there, np.log10((np.maximum(count, 0) + 0.1) / floor), 0.0)
+            rare: list[Counter] = [Counter() for _ in found]
+            gaps = np.flatnonzero(~there)
+            in_doc = np.searchsorted(firsts, gaps, side="right") - 1
+            for i, d in zip((gaps - firsts[in_doc]).tolist(), in_doc.tolist()):
+                rare[d][found[d][i]] += 1
+            columns = [
+                pa.array(np.arange(row + first, row + first + len(found))), pa.array(list(map(len, found)), pa.int64()),
+                *[pa.array(np.add.reduceat(v, firsts)) for v in ((count > 0).astype(np.int64), base, score)],
+                pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
+            ]
+            return pa.RecordBatch.from_arrays([*batch.slice(first, len(found)).columns[:n_keep], *columns], names=names)
 
         for batch in batches:
             first, found, size_of = 0, [], 0
