@@ -311,7 +311,7 @@ def score_texts(
     table = _frequent(counts, known)
 
     ids = train.select(F.col(doc_id).alias("chosen")).where(F.col("chosen").isNotNull()).orderBy(F.xxhash64("chosen"), "chosen").limit(sample)
-    picked = train.join(F.broadcast(ids.distinct()), F.col(doc_id) == F.col("chosen")).select(text).limit(2 * sample)
+    picked = train.join(F.broadcast(ids.distinct()), F.col(doc_id) == F.col("chosen")).groupBy("chosen").agg(F.max(text).alias(text)).select(text)
     schema = "document bigint, words array<binary>, before binary"
 
     def pick(batches):
