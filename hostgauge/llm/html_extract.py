@@ -186,7 +186,7 @@ def costs(b: Block) -> tuple[float, float]:
     n = len(b.text)
     content = b.content + min(2.0, n / 100) + (WEAK if b.tag in TEXT_TAGS else 0.0)
     content += 0.5 * bool(re.search(r"[.!?…]['\"»”)]?$", b.text))
-    boiler = b.boiler + (MEDIUM * b.linked / n if n else 0.0) + (WEAK if b.tag == "li" else 0.0) + 0.5
+    boiler = b.boiler + (MEDIUM * b.linked / n if n else 0.0) + (WEAK if b.tag == "li" else 0.0) + 0.2
     return content, boiler
 
 

@@ -278,6 +278,8 @@ def _share_of_attention(scorer: Scorer, sample: list[list[bytes]], total: int) -
         log, count, _ = scorer.score([d + [END] for d in sample[a : a + 64]])
         chance.append(10.0**log)
         share.append(np.maximum(count - 1, 0) / max(1, total))
+    if not chance or not total:
+        return 1.0
     p, q, w = np.concatenate(chance), np.concatenate(share), 0.5
     for _ in range(50):
         w = float(np.mean(w * p / (w * p + (1 - w) * q + 1e-300)))

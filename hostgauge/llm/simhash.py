@@ -197,7 +197,7 @@ def near_classes(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")))  # a large class's rows can be split
     named = rooted.join(smallest, "root").select("fp", "component_id")
     out = found.join(named, "fp")
     return out.select(*keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

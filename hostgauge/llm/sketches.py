@@ -15,9 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from hostgauge.llm.common import window_hashes
+from hostgauge.llm.common import map_texts, window_hashes
 
 SHINGLE = 16  # code points
 FRACTION = 16  # one hash in 16 is kept
@@ -62,15 +62,11 @@ def load(fingerprint: str) -> np.ndarray:
 
 def sketches(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns and ``fingerprint`` per row; null text counts as empty (the sketch of no shingle)."""
-    from hostgauge.llm.common import map_texts
-
     return map_texts(docs, keep or ["doc_id"], [text], "fingerprint string", lambda t: (dump(sketch(t or "")),))
 
 
-_OUT = T.StructType.fromDDL(
-    "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
-)
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_KINDS = ["bigint", "bigint", "string", "string", "string", "double", "double"]
 
 
 def edited_likeness(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int | None = None) -> DataFrame:
@@ -114,13 +110,13 @@ def edited_likeness(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
     placed = rows.select("doc_id", "text", bucket_of("doc_id").alias("bucket"), F.lit(0).alias("halo")).unionAll(again)
     walked = placed.repartition("bucket").sortWithinPartitions("bucket", "halo", "doc_id", "text")
-    return walked.mapInArrow(_walk, _OUT)
+    return walked.mapInArrow(_walk, ", ".join(map(" ".join, zip(_NAMES, _KINDS))))
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, bucket, halo) in order: each own row with the row that follows in its bucket."""
     held = None  # own row that waits for its next one: doc_id, text, bucket, sketch
-    names, types = _OUT.fieldNames(), [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
 
     def row(doc_id, text, own, following, its):
         n = len(text)
@@ -132,7 +128,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     def out(done):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=_NAMES)
 
     done = []
     for batch in batches:
