@@ -128,14 +128,6 @@ HOOK_EVENT_IDS = {
     "switch_task_ns": 1205,
 }
 
-# System-call numbers come from the kernel's x86-64 header (a parameter); of its
-# ids 0..334 these are not known to the dictionary, and one name differs.
-SYSCALL_LAST_ID = 334
-SYSCALL_UNKNOWN_IDS = [
-    13, 14, 15, 17, 18, 19, 20, 156, 173, 174, 177, 178, 180, 181, 182, 183, 184, 185, 205, 211, 214, 215, 236,
-]
-SYSCALL_RENAMED = {172: "ioperm"}
-
 # Names the key=value audit dialect knows; all others become syscall_<n>.
 AUDIT_KV_NAMES = {2: "open", 59: "execve", 257: "openat"}
 

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 
 def whole_json(text: Column) -> Column:
     """The variant of a text that is one JSON value and nothing else, else null.
 
-    ``try_parse_json`` stops after the first value and ignores what follows, so
-    the text is parsed as an array, of which it must be the only element.
+    ``try_parse_json`` stops after the first value and ignores what follows. So the
+    text is parsed as the first element of an array whose second is a hash of the
+    text: an array that ends early, or holds more, lacks it in its place. Of a key
+    given twice the last value counts (a setting of the session).
     """
-    wrapped = F.array(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-
-    def only_element(w: Column) -> Column:
-        second = F.try_variant_get(w, "$[1]", "variant")
-        return F.when(second.isNull(), F.try_variant_get(w, "$[0]", "variant"))
-
-    # a lambda variable, so that the text is parsed once for both look-ups
-    return F.element_at(F.transform(wrapped, only_element), 1)
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    mark = F.hex(F.xxhash64(text))
+    wrapped = F.array(F.struct(
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))).alias("v"), mark.alias("mark")
+    ))
+
+    def first_element(w: Column) -> Column:
+        whole = F.try_variant_get(w["v"], "$[1]", "string") == w["mark"]
+        return F.when(whole & F.try_variant_get(w["v"], "$[2]", "variant").isNull(), F.try_variant_get(w["v"], "$[0]", "variant"))
+
+    # a lambda variable, so that the text is parsed once for all look-ups
+    return F.element_at(F.transform(wrapped, first_element), 1)
 
 
 def once(c: Column) -> Column:

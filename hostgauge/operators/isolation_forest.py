@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hostgauge.fixed_values import CONTAMINATION, FEATURES, N_TREES, SEED, TRAIN_SAMPLE
 from hostgauge.operators.ordered import exact_quantiles, with_random_rank
@@ -22,6 +22,8 @@ from hostgauge.session import materialize
 NODE_SCHEMA = "tree_id int, node_id int, feature int, threshold double, path_len double"
 AUTO_SAMPLES = 256
 EULER_GAMMA = 0.5772156649
+_NODE_BYTES, MAX_FOREST_BYTES = 12, 1 << 30
+_ROWS = 2048  # scored together, so that their values stay in cache
 
 
 def average_path(n: float) -> float:
@@ -65,33 +67,27 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, levels: int) -> list[tupl
 
 
 def assign_subsamples(ranked: DataFrame, n: int, psi: int, n_trees: int, seed: int) -> DataFrame:
-    """(tree_id, rank, features...) with psi distinct rows for every tree.
+    """(tree_id, rank, features...) with min(psi, n) distinct rows for every tree.
 
-    ``ranked`` holds ranks 0..n-1 in random order. Draws with replacement among
-    n >= 8 psi ranks leave at least psi distinct ones of 2 psi draws, so a join
-    on the drawn ranks is enough; smaller samples are copied per tree.
+    ``ranked`` holds ranks 0..n-1 in random order. Each tree draws its ranks without
+    replacement from a generator of its own; a join brings the rows.
     """
-    spark = ranked.sparkSession
-    if n >= 8 * psi:
-        draws = spark.range(n_trees * 2 * psi).select(
-            F.floor(F.col("id") / (2 * psi)).cast("int").alias("tree_id"), F.col("id").alias("draw")
-        )
-        drawn = draws.withColumn("rank", F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(n)))
-        distinct = drawn.groupBy("tree_id", "rank").agg(F.min("draw").alias("draw"))
-        first = F.row_number().over(Window.partitionBy("tree_id").orderBy("draw"))
-        return distinct.withColumn("_n", first).where(F.col("_n") <= psi).drop("_n", "draw").join(ranked, "rank")
-    copies = ranked.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    if n <= psi:
-        return copies
-    order = Window.partitionBy("tree_id").orderBy(F.xxhash64("tree_id", "rank", F.lit(seed)), "rank")
-    return copies.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= psi).drop("_n")
+    size = min(psi, n)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for trees in batches:
+            for tree_id in trees["id"]:
+                ranks = np.random.default_rng([seed, int(tree_id), 1]).choice(n, size, replace=False, shuffle=False)
+                yield pd.DataFrame({"tree_id": np.int32(tree_id), "rank": ranks.astype("int64")})
+
+    return ranked.sparkSession.range(n_trees).mapInPandas(draw, "tree_id int, rank bigint").join(ranked, "rank")
 
 
 def fit_trees(ranked: DataFrame, n: int, n_trees: int, max_samples, seed: int, features: list[str]) -> DataFrame:
     psi = subsample_size(n, max_samples)
     levels = max(1, math.ceil(math.log2(max(psi, 2))))
-    if levels > 16:
-        raise ValueError("max_samples above 65536 would grow trees too deep to broadcast")
+    if n_trees * 2 ** (levels + 1) * _NODE_BYTES > MAX_FOREST_BYTES:
+        raise ValueError(f"{n_trees} trees of {psi} rows would not fit the {MAX_FOREST_BYTES} bytes that are sent to executors")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree_id = int(pdf["tree_id"].iloc[0])
@@ -147,16 +143,18 @@ class Forest:
 
 def raw_scores(x: np.ndarray, features: np.ndarray, thresholds: np.ndarray, paths: np.ndarray, psi: int) -> np.ndarray:
     """-2 ** (-E[h] / c(psi)) for each row of ``x``: all rows go down one tree at a time."""
-    n, width = x.shape
-    flat, base = np.ascontiguousarray(x).ravel(), np.arange(n) * width
     levels = paths.shape[1].bit_length() - 1
-    total = np.zeros(n)
-    for feature, threshold, path in zip(features, thresholds, paths):
-        node = np.zeros(n, dtype=np.int64)
-        for _ in range(levels):
-            value = flat.take(base + feature.take(node))
-            node += node + 1 + ~(value < threshold.take(node))
-        total += path.take(node - (2**levels - 1))
+    total = np.zeros(len(x))
+    for at in range(0, len(x), _ROWS):
+        part = np.ascontiguousarray(x[at : at + _ROWS])
+        n, width = part.shape
+        flat, base = part.ravel(), np.arange(n) * width
+        for feature, threshold, path in zip(features, thresholds, paths):
+            node = np.zeros(n, dtype=np.int64)
+            for _ in range(levels):
+                value = flat.take(base + feature.take(node))
+                node += node + 1 + ~(value < threshold.take(node))
+            total[at : at + n] += path.take(node - (2**levels - 1))
     return -np.exp2(-(total / len(features)) / max(average_path(psi), 1e-12))
 
 
@@ -208,7 +206,7 @@ def fit(
     nodes = materialize(fit_trees(ranked, n, n_trees, max_samples, seed, features))
     # at most trees x (2 psi - 1) nodes, whatever the data
     forest = Forest.from_nodes(nodes.toPandas(), subsample_size(n, max_samples))
-    raw = ranked.select(normality_score(spark, forest, features).alias("raw"))
+    raw = materialize(ranked.select(normality_score(spark, forest, features).alias("raw")))  # read twice
     forest.offset = contamination_offset(raw, contamination)
     return FitResult(nodes, forest, n)
 

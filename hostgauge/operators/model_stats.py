@@ -98,7 +98,7 @@ def capped_per_entity(
     """At most ``cap`` rows per entity (or overall), a uniform sample of each."""
     rows = df.withColumn("_h", row_hash(key, seed))
     groups = [entity] if entity else []
-    return first_rows(rows, cap, [F.col("_h"), *[F.col(c) for c in key]], hash_bin(F.col("_h")), groups).drop("_h")
+    return first_rows(rows, cap, [F.col("_h"), *[F.col(c) for c in key]], [hash_bin(F.col("_h")), hash_bin(F.col("_h"), 24)], groups).drop("_h")
 
 
 # -- thresholds ----------------------------------------------------------------------

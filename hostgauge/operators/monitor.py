@@ -12,10 +12,11 @@ HOUR_US = 3_600_000_000
 
 
 def latest_rows(df: DataFrame, n: int, groups: list[str] | None = None, bin_us: int = HOUR_US) -> DataFrame:
-    """The newest ``n`` rows (per group). Hours that lie too far back are found
-    from counts and dropped before rows are shuffled."""
+    """The newest ``n`` rows (per group). Whole hours, then seconds, then milliseconds
+    are taken or dropped by counts; only the rows of one millisecond are sorted."""
     newest = [F.desc("ts_us"), F.desc("seq")]
-    return first_rows(df, n, newest, -F.floor(F.col("ts_us") / bin_us), groups)
+    bins = [-F.floor(F.col("ts_us") / us) for us in (bin_us, 1_000_000, 1000)]
+    return first_rows(df, n, newest, bins, groups)
 
 
 def retain_last(df: DataFrame, n: int, by: str = "hostname") -> DataFrame:

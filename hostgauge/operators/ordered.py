@@ -21,7 +21,9 @@ _OCTAVES = 1100  # more than the exponents of a double
 
 def value_bin(value: Column) -> Column:
     """Bin number that never falls when ``value`` rises."""
-    level = F.floor(F.log2(F.abs(value)) * BINS_PER_OCTAVE) + _OCTAVES * BINS_PER_OCTAVE
+    # infinity lies above every finite value
+    octave = F.least(F.log2(F.abs(value)), F.lit(float(_OCTAVES)))
+    level = F.floor(octave * BINS_PER_OCTAVE) + _OCTAVES * BINS_PER_OCTAVE
     return F.when(value > 0, level).when(value < 0, -level).otherwise(F.lit(0).cast("bigint"))
 
 
@@ -134,26 +136,35 @@ def rank_curve(df: DataFrame, value: str, sums: dict[str, Column]) -> DataFrame:
 
 
 def first_rows(
-    df: DataFrame, k: int, order: list[Column], order_bin: Column, groups: list[str] | None = None
+    df: DataFrame, k: int, order: list[Column], bins: list[Column], groups: list[str] | None = None
 ) -> DataFrame:
     """The first ``k`` rows of each group (or overall) in the given total order.
 
-    ``order_bin`` must not fall along ``order``; bins past the cut are found from
-    counts and dropped before rows are shuffled. ``groups`` must not be null.
+    ``bins``, coarse to fine, must not fall along ``order``. Bins that lie before
+    the cut are taken whole and those past it dropped, by counts alone; only the bin
+    that holds the cut is looked into, by the next finer bins and in the end by a
+    sort of its rows. ``groups`` must not be null.
     """
-    groups = groups or []
-    rows = df.withColumn("_bin", order_bin)
-    per_bin = rows.groupBy(*groups, "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    up_to = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.sum("_c").over(up_to) - F.col("_c")
-    kept = lookup_side(materialize(per_bin.withColumn("_start", start).where(F.col("_start") < k).drop("_c")))
-    within = Window.partitionBy(*groups, "_bin").orderBy(*order)
-    return (
-        rows.join(kept, [*groups, "_bin"])
-        .withColumn("_rank", F.col("_start") + F.row_number().over(within))
-        .where(F.col("_rank") <= k)
-        .drop("_bin", "_start", "_rank")
-    )
+    groups = list(groups or [])
+    rows, names, taken = df, [], []
+    quota: Column = F.lit(k)
+    for i, each in enumerate(bins):
+        within, name = [*groups, *names], f"_bin{i}"
+        rows = rows.withColumn(name, each)
+        per_bin = rows.groupBy(*within, name).agg(F.count(F.lit(1)).alias("_c"), F.first(quota).alias("_k"))
+        up_to = Window.partitionBy(*within).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+        kept = per_bin.withColumn("_rest", F.col("_k") - F.sum("_c").over(up_to) + F.col("_c")).where(F.col("_rest") > 0)
+        kept = kept.select(*within, name, "_rest", (F.col("_c") <= F.col("_rest")).alias("_all"))
+        rows = rows.drop("_rest").join(lookup_side(materialize(kept)), [*within, name])
+        taken.append(rows.where("_all").select(*df.columns))
+        rows = rows.where("not _all").drop("_all")
+        names.append(name)
+        quota = F.col("_rest")
+    rank = F.row_number().over(Window.partitionBy(*groups, *names).orderBy(*order))
+    out = rows.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_rest")).select(*df.columns)
+    for whole in taken:
+        out = out.unionAll(whole)
+    return out
 
 
 def with_random_rank(df: DataFrame, key: list[str], seed: int, rank: str = "rank", limit: int | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ FEATURE_BUCKET_WINDOWS = 60
 def with_halo(df: DataFrame, reach_us: int, bucket_us: int, ts: str = "ts_us") -> DataFrame:
     """One row per (event, time bucket whose frames can see it): ``_bucket``, ``_own``."""
     # a row without time is alone in a bucket that no time falls into
-    alone = F.pmod(F.coalesce("seq", F.lit(0)), F.lit(1 << 40)) - F.lit(1 << 62)
+    alone = F.coalesce("seq", F.lit(0)).bitwiseOR(F.lit(-(1 << 63)))
     own = F.coalesce(F.floor(F.col(ts) / bucket_us), alone)
     last = F.coalesce(F.floor((F.col(ts) + reach_us) / bucket_us), alone)
     return (

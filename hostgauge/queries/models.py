@@ -56,7 +56,7 @@ def fitted_forest_scores(spark, sf_dir):
     rows = materialize(all_features(spark, sf_dir, ["hostName", "seq", "sus", "evil"]))
     normal = benign(rows)
     stats = scaler_dict(scaler_statistics(normal))
-    fitted = forest.fit(scaled(normal, stats), ["hostName", "seq"], n_trees=100)
+    fitted = forest.fit(scaled(normal, stats), ["hostName", "seq"])
     score = forest.normality_score(spark, fitted.forest)
     return scaled(rows, stats).select("seq", "evil", score.alias("normality_score"))
 
@@ -64,7 +64,7 @@ def fitted_forest_scores(spark, sf_dir):
 def trained_folder(spark, sf_dir, **options) -> tuple[str, object]:
     e = telemetry(spark, sf_dir)
     folder = f"{shared_folder(spark)}/hostgauge-model-{uuid.uuid4().hex}"
-    o = jobs.TrainOptions(group_mode="host_user", host_col="hostName", n_trees=100, **options)
+    o = jobs.TrainOptions(group_mode="host_user", host_col="hostName", **options)
     return folder, jobs.train(e, e, folder, o)
 
 
@@ -90,13 +90,13 @@ def model_test_report(spark, sf_dir):
 def host_variant_report(spark, sf_dir):
     e = telemetry(spark, sf_dir)
     folder = f"{shared_folder(spark)}/hostgauge-model-{uuid.uuid4().hex}"
-    return jobs.train_per_host(e, e, folder, jobs.TrainOptions(n_trees=100)).drop("saved_to")
+    return jobs.train_per_host(e, e, folder, jobs.TrainOptions()).drop("saved_to")
 
 
 @query("legacy_variant_report")
 def legacy_variant_report(spark, sf_dir):
     e = telemetry(spark, sf_dir)
-    return jobs.test_legacy(e, jobs.train_legacy(e, e, n_trees=100))
+    return jobs.test_legacy(e, jobs.train_legacy(e, e))
 
 
 @query("host_variant_grades", f"""

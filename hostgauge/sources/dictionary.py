@@ -1,31 +1,38 @@
-"""Names and numbers of kernel events."""
+"""Names and numbers of kernel events. The dictionary is a parameter: a stored table or a kernel header."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hostgauge.fixed_values import HOOK_EVENT_IDS, SYSCALL_LAST_ID, SYSCALL_RENAMED, SYSCALL_UNKNOWN_IDS
+from hostgauge.fixed_values import HOOK_EVENT_IDS
 from hostgauge.session import lookup_side
 
-SYSCALL_HEADER = "/usr/include/x86_64-linux-gnu/asm/unistd_64.h"
 SCHEMA = "event_name string, event_id int"
 
 
-def syscall_dictionary(spark: SparkSession, header: str = SYSCALL_HEADER) -> DataFrame:
-    """(event_name, event_id) from a kernel header of this machine, and the hooks.
+def with_hooks(calls: DataFrame) -> DataFrame:
+    """``calls`` and the kernel hooks, whose names and numbers are the project's own."""
+    hooks = calls.sparkSession.createDataFrame(list(HOOK_EVENT_IDS.items()), SCHEMA)
+    return calls.select("event_name", "event_id").unionByName(hooks).distinct()
+
+
+def stored_dictionary(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table of event_name and event_id, with the hooks."""
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    rows = reader.format(fmt).load(path)
+    calls = rows.select(F.lower("event_name").alias("event_name"), F.col("event_id").try_cast("int").alias("event_id"))
+    return with_hooks(calls.dropna())
 
-    The header is a fixed text of a few hundred lines.
-    """
-    with open(header, encoding="utf-8") as lines:
-        numbered = [re.match(r"#define\s+__NR_(\w+)\s+(\d+)", line) for line in lines]
-    rows = [
-        (SYSCALL_RENAMED.get(int(m[2]), m[1]), int(m[2]))
-        for m in numbered
-        if m and int(m[2]) <= SYSCALL_LAST_ID and int(m[2]) not in SYSCALL_UNKNOWN_IDS
-    ]
-    return spark.createDataFrame(rows + list(HOOK_EVENT_IDS.items()), SCHEMA)
+
+def syscall_dictionary(spark: SparkSession, header: str) -> DataFrame:
+    """All system calls that a kernel header (``unistd_64.h``, on shared storage) numbers, with the hooks."""
+    define = r"^\s*#define\s+__NR_(\w+)\s+(\d+)"
+    lines = spark.read.text(header).where(F.col("value").rlike(define))
+    calls = lines.select(
+        F.lower(F.regexp_extract("value", define, 1)).alias("event_name"),
+        F.regexp_extract("value", define, 2).try_cast("int").alias("event_id"),
+    )
+    return with_hooks(calls.dropna())
 
 
 def learned_dictionary(events: DataFrame) -> DataFrame:

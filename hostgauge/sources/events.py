@@ -8,18 +8,48 @@ from hostgauge.functions.columns import whole_json
 from hostgauge.operators.filters import complete
 from hostgauge.schemas import EVENT_COLUMNS, EVENT_SCHEMA, NUMERIC_COLUMNS, conform
 
+# the writer would else cut white space off the ends of fields
+_CSV_OUT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 ENVELOPE_SCHEMA = "stream string, msg_id string, ingest_ts timestamp, data string"
 
 
-def read_events(spark: SparkSession, path: str, fmt: str = "parquet", strict: list[str] | None = None) -> DataFrame:
+def _escaped(df: DataFrame) -> DataFrame:
+    """Text columns with each backslash doubled and line breaks as a backslash and a letter."""
+
+    def shown(c: str) -> Column:
+        out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+        return F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+    return df.withColumns({f.name: shown(f.name) for f in df.schema.fields if f.dataType == T.StringType()})
+
+
+def _unescaped(df: DataFrame) -> DataFrame:
+    def plain(c: str) -> Column:
+        # doubled backslashes first, so that what is between them holds escapes only
+        parts = F.transform(
+            F.split(c, r"\\\\", -1),
+            lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")),
+        )
+        return F.when(F.col(c).isNotNull(), F.array_join(parts, "\\"))
+
+    return df.withColumns({c: plain(c) for c in df.columns})
+
+
+def read_events(
+    spark: SparkSession, path: str, fmt: str = "parquet", strict: list[str] | None = None, escaped: bool = False
+) -> DataFrame:
     """Event table with the 16 columns; absent ones are null, bad numbers too.
 
     Rows without eventId or mountNamespace are dropped, as far as the table has
     these columns. ``strict`` names columns that must exist and be complete.
+
+    CSV fields may hold line breaks, so one task reads a CSV file. Files that
+    ``write_events`` wrote ``escaped`` hold none and are read in parts.
     """
     if fmt == "csv":
         # all as text, so that a bad number costs its cell and not the row
-        raw = spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
+        raw = spark.read.option("header", True).option("escape", '"').option("multiLine", not escaped).csv(path)
+        raw = _unescaped(raw) if escaped else raw
     else:
         raw = spark.read.format(fmt).load(path)
     return tidy_events(raw, strict)
@@ -50,11 +80,12 @@ def with_host_from_path(df: DataFrame) -> DataFrame:
     return df.withColumn("hostName", host_from_file(F.col("_metadata.file_name")))
 
 
-def write_events(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """The 16 columns in order; CSV with header, Parquet partitioned by host."""
+def write_events(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", escaped: bool = False) -> None:
+    """The 16 columns in order; CSV with header (``escaped``: no line break inside a field), Parquet partitioned by host."""
     out = df.select(*EVENT_COLUMNS)
     if fmt == "csv":
-        out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+        out = _escaped(out) if escaped else out
+        out.write.mode(mode).options(**_CSV_OUT).csv(path)
     else:
         out.write.mode(mode).partitionBy("hostName").format(fmt).save(path)
 
@@ -62,7 +93,7 @@ def write_events(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.options(**_CSV_OUT)
     writer.format(fmt).save(path)
 
 

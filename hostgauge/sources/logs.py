@@ -2,6 +2,7 @@
 
 Every reader takes a table with ``value`` (the line) and ``ingest_ts``; where a
 line carries no usable time the latter is taken and ``time_from_ingest`` is true.
+No line ends a job: a number that its column cannot hold counts as 0.
 """
 
 from __future__ import annotations
@@ -19,6 +20,16 @@ from hostgauge.sources.dictionary import unnamed, with_event_id, with_event_name
 _TYPES = {f.name: f.dataType.simpleString() for f in EVENT_SCHEMA}
 
 
+def _stripped(text: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _digits(text: Column, kind: str = "bigint") -> Column:
+    """The number a text spells; 0 where it spells none or one that ``kind`` cannot hold."""
+    return F.coalesce(text.try_cast(kind), F.lit(0).cast(kind))
+
+
 def _ingest_seconds() -> Column:
     return F.unix_micros("ingest_ts") / 1_000_000
 
@@ -26,7 +37,7 @@ def _ingest_seconds() -> Column:
 def _layout(df: DataFrame, columns: dict[str, Column], *keep: str) -> DataFrame:
     defaults = {"stackAddresses": F.lit("[]"), "args": F.lit("[]"), "sus": F.lit(0), "evil": F.lit(0)}
     columns = defaults | columns
-    return df.select(*[columns[c].cast(t).alias(c) for c, t in _TYPES.items()], *keep)
+    return df.select(*[columns[c].try_cast(t).alias(c) for c, t in _TYPES.items()], *keep)
 
 
 # -- probe JSON -----------------------------------------------------------------------
@@ -62,8 +73,8 @@ def _text(v: Column) -> Column:
 
 
 def _whole(v: Column) -> Column:
-    """Number (or digits) to a whole number, anything else to 0."""
-    number = F.coalesce(F.try_variant_get(v, "$", "bigint"), F.try_variant_get(v, "$", "double").cast("bigint"))
+    """Number (or digits) to a whole number, anything else and numbers beyond 64 bits to 0."""
+    number = F.coalesce(F.try_variant_get(v, "$", "bigint"), F.try_variant_get(v, "$", "double").try_cast("bigint"))
     return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
@@ -93,7 +104,7 @@ def ingest_probe_json(
 
     ``time_unit`` is the length of a numeric timestamp's unit in seconds.
     """
-    parsed = lines.withColumn("_line", once(whole_json(F.trim("value"))))
+    parsed = lines.withColumn("_line", once(whole_json(_stripped("value"))))
     line = F.col("_line")
     plain = _has(line, "eventName") | _has(line, "eventId")
     wrapped = F.try_variant_get(line, "$.event", "variant")
@@ -150,7 +161,7 @@ def ingest_probe_json(
     )
     rows = rows.withColumns({
         "eventName": name,
-        "_id": F.when(legacy, F.lit(0).cast("bigint")).otherwise(_whole(_first_of(e, "eventId", "event_id"))),
+        "_id": F.when(legacy, F.lit(0).cast("bigint")).otherwise(_digits(_whole(_first_of(e, "eventId", "event_id")), "int").cast("bigint")),
         "_seconds": seconds,
     })
     rows = with_event_id(rows, dictionary, "eventName", "_by_name")
@@ -191,24 +202,24 @@ def ingest_auditd(
     record's own uid.
     """
     line = F.col("_line")
-    rows = lines.withColumn("_line", F.trim("value")).where(line.contains("type=SYSCALL"))
+    rows = lines.withColumn("_line", _stripped("value")).where(line.contains("type=SYSCALL"))
     # Plain tests first: a line that lacks one of these would keep the pattern
     # trying every way to match.
     for word in ("syscall=", "success=", "exit=", "a0=", "ppid=", "uid=", 'comm="'):
         rows = rows.where(F.lower(line).contains(word))
     # One search yields all groups; a line without a match stays whole.
-    groups = F.regexp_replace(line, f"^.*?{AUDIT_SYSCALL_PATTERN}.*$", "\u001f".join(f"${i}" for i in range(1, 9)))
+    groups = F.regexp_replace(line, f"(?s)^.*?{AUDIT_SYSCALL_PATTERN}.*$", "\u001f".join(f"${i}" for i in range(1, 9)))
     rows = rows.withColumn("_part", once(F.split(groups, "\u001f"))).where(F.size("_part") == 8)
 
     def part(i: int) -> Column:
         return F.col("_part")[i - 1]
 
-    exit_code = part(3).cast("bigint")
-    first_uid = part(7).cast("bigint")
+    exit_code = _digits(part(3))
+    first_uid = _digits(part(7))
     own_uid = F.regexp_extract(line, r"\buid=(\d+)", 1).try_cast("bigint")
-    when = F.nullif(F.regexp_extract(line, AUDIT_TIME_PATTERN, 1), F.lit("")).cast("double")
+    when = F.nullif(F.regexp_extract(line, AUDIT_TIME_PATTERN, 1), F.lit("")).try_cast("double")
     rows = rows.withColumns({
-        "eventId": part(1).cast("int"),
+        "eventId": _digits(part(1), "int"),
         "auid": first_uid,
         "uid": F.coalesce(own_uid, first_uid),
         "_seconds": when,
@@ -219,9 +230,9 @@ def ingest_auditd(
         rows,
         {
             "timestamp": F.coalesce("_seconds", _ingest_seconds()),
-            "processId": part(6),
+            "processId": _digits(part(6)),
             "threadId": F.lit(0),
-            "parentProcessId": part(5),
+            "parentProcessId": _digits(part(5)),
             "userId": F.col("auid" if uid_source == "auid" else "uid"),
             "mountNamespace": F.lit(0),
             "processName": part(8),
@@ -253,7 +264,7 @@ def ingest_audit_kv(lines: DataFrame, default_host: str = "", *, keep: tuple = (
         return F.coalesce(last(key).try_cast("bigint"), F.lit(default))
 
     call = F.coalesce(last("syscall"), F.lit(""))
-    event_id = F.when(call.rlike(r"^\d+$"), call.try_cast("int")).otherwise(0)
+    event_id = F.when(call.rlike(r"^\d+$"), _digits(call, "int")).otherwise(0)
     name = F.when(F.lit(False), "")
     for k, v in AUDIT_KV_NAMES.items():
         name = name.when(call == str(k), v)
@@ -261,7 +272,7 @@ def ingest_audit_kv(lines: DataFrame, default_host: str = "", *, keep: tuple = (
     return _layout(
         rows,
         {
-            "timestamp": F.coalesce(when.cast("double"), F.lit(0.0)),
+            "timestamp": F.coalesce(when.try_cast("double"), F.lit(0.0)),
             "processId": number("pid", 0),
             "threadId": F.lit(None),
             "parentProcessId": number("ppid", 0),

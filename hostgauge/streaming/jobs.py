@@ -1,12 +1,14 @@
 """The three chained streams: messages -> events -> scores -> alerts.
 
-Every stage writes its micro-batch to its own ``batch_id`` folder and replaces
-that folder when the batch is repeated, so a restarted stream neither loses nor
-doubles rows. The next stage reads the folders as a stream.
+Every stage writes its micro-batch to its own ``batch_id`` folder, which appears
+in one step and never changes: a batch that is repeated after a restart finds its
+folder and leaves it alone, so no stage loses or doubles rows. The next stage
+reads the folders as a stream.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 from collections.abc import Callable
 
@@ -35,8 +37,24 @@ SCORE_TABLE = (
 ALERT_TABLE = CROSSING_SCHEMA + ", `trigger` string"
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def write_batch(df: DataFrame, path: str, batch_id: int) -> bool:
+    """Publishes a micro-batch once; false if it was published before.
+
+    The rows are written beside the table, in a folder that readers pass over, and
+    moved into place as a whole (the storage must rename folders in one step).
+    """
+    spark = df.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    final = fs_path(f"{path}/batch_id={batch_id}")
+    storage = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    if storage.exists(final):
+        return False
+    staged = f"{path}/_staged/{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    storage.mkdirs(final.getParent())
+    if storage.exists(final) or not storage.rename(fs_path(staged), final):
+        raise RuntimeError(f"{final.toString()} was written by another run of the stream")
+    return True
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -113,7 +131,8 @@ def start_scoring(
     def recent_scores(batch_id: int) -> DataFrame:
         """The folders that surely hold the newest scores; all while too few were written."""
         scores = read_table(spark, scores_path, SCORE_TABLE)
-        written.append((batch_id, scores.where(F.col("batch_id") == batch_id).count()))
+        if not written or written[-1][0] != batch_id:
+            written.append((batch_id, scores.where(F.col("batch_id") == batch_id).count()))
         while sum(n for _, n in written) - written[0][1] >= DRIFT_SAMPLE:
             written.popleft()
         if sum(n for _, n in written) < DRIFT_SAMPLE:

@@ -11,16 +11,17 @@ from hostgauge.sources.events import ENVELOPE_SCHEMA, decode_batches
 # One trigger covers what the collectors flush: 100 events or 5 seconds.
 TRIGGER = {"processingTime": "5 seconds"}
 DRAIN = {"availableNow": True}
-MESSAGES_PER_BATCH = 200
-# Positions within a message that the arrival number can tell apart.
+# Numbers set aside per microsecond of arrival.
 _POSITIONS = 4096
 
 
-def file_messages(spark: SparkSession, path: str, fmt: str = "json", max_files: int = MESSAGES_PER_BATCH) -> DataFrame:
-    """Envelopes from a folder, oldest first; new files and hosts join as they come."""
-    return (
-        spark.readStream.format(fmt).schema(ENVELOPE_SCHEMA).option("maxFilesPerTrigger", max_files).load(path)
-    )
+def file_messages(spark: SparkSession, path: str, fmt: str = "json", max_files: int | None = None) -> DataFrame:
+    """Envelopes from a folder, oldest first; new files and hosts join as they come.
+
+    A micro-batch takes all files that are there, or at most ``max_files``.
+    """
+    reader = spark.readStream.format(fmt).schema(ENVELOPE_SCHEMA)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
 def kafka_messages(
@@ -44,7 +45,11 @@ def kafka_messages(
 
 
 def arrival_number() -> Column:
-    return F.unix_micros("ingest_ts") * _POSITIONS + F.pmod("pos", F.lit(_POSITIONS))
+    """Rises with the time of the message and the position in it; distinct within any message.
+
+    A message of more than 4096 events runs on into the numbers of the next microsecond.
+    """
+    return F.unix_micros("ingest_ts") * _POSITIONS + F.col("pos")
 
 
 def arriving_events(

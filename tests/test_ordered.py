@@ -60,7 +60,7 @@ def test_rank_curve(spark):
 def test_first_rows_per_group(spark):
     rows = [(g, i, float(RNG.integers(0, 50))) for g, n in (("a", 900), ("b", 3)) for i in range(n)]
     df = spark.createDataFrame(rows, "g string, i int, v double")
-    got = first_rows(df, 40, [F.col("v"), F.col("i")], F.floor(F.col("v") / 5), ["g"]).collect()
+    got = first_rows(df, 40, [F.col("v"), F.col("i")], [F.floor(F.col("v") / 5), F.col("v")], ["g"]).collect()
     for g in "ab":
         expected = sorted((v, i) for h, i, v in rows if h == g)[:40]
         assert sorted((r["v"], r["i"]) for r in got if r["g"] == g) == expected

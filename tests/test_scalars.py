@@ -8,7 +8,8 @@ from hostgauge.fixed_values import FEATURES
 from hostgauge.functions import event_features as ef, severity as sv, text
 from hostgauge.operators import filters
 from hostgauge.operators.model_stats import override_global
-from hostgauge.sources.dictionary import syscall_dictionary, with_event_id, with_event_name
+from hostgauge.fixed_values import HOOK_EVENT_IDS
+from hostgauge.sources.dictionary import stored_dictionary, syscall_dictionary, with_event_id, with_event_name
 from tests.conftest import events
 
 
@@ -141,15 +142,18 @@ def test_labels_required(spark):
 
 def test_dictionary(spark, tmp_path):
     header = tmp_path / "unistd.h"
-    header.write_text("#define __NR_read 0\n#define __NR_rt_sigaction 13\n#define __NR_iopl 172\n#define __NR_openat 257\n#define __NR_landlock 444\n")
-    d = syscall_dictionary(spark, str(header))
-    found = {r["event_name"]: r["event_id"] for r in d.collect()}
-    assert found["openat"] == 257 and found["ioperm"] == 172 and found["switch_task_ns"] == 1205
-    assert not {"rt_sigaction", "iopl", "landlock"} & set(found)
-    df = spark.createDataFrame([("OpenAt",), ("nope",), (None,)], "eventName string")
-    assert [r["eventId"] for r in with_event_id(df, d).collect()] == [257, 0, 0]
-    ids = spark.createDataFrame([(257,), (13,)], "eventId int")
-    assert [r["eventName"] for r in with_event_name(ids, d).collect()] == ["openat", "syscall_13"]
+    header.write_text("#ifndef X\n#define __NR_read 0\n#define __NR_rt_sigaction 13\n#define  __NR_openat 257\n#define OTHER 5\n")
+    found = {r["event_name"]: r["event_id"] for r in syscall_dictionary(spark, str(header)).collect()}
+    assert found == {"read": 0, "rt_sigaction": 13, "openat": 257, **HOOK_EVENT_IDS}
+    table = str(tmp_path / "table")
+    pairs = [(f"call_{i}", i) for i in range(312)] + [("OpenAt", 557), (None, 1), ("x", None)]
+    spark.createDataFrame(pairs, "event_name string, event_id int").write.parquet(table)
+    d = stored_dictionary(spark, table)
+    assert d.count() == 313 + len(HOOK_EVENT_IDS) == 341
+    df = spark.createDataFrame([("OpenAt",), ("nope",), (None,), ("call_311",), ("do_exit",)], "eventName string")
+    assert [r["eventId"] for r in with_event_id(df, d).collect()] == [557, 0, 0, 311, 1203]
+    ids = spark.createDataFrame([(557,), (999,), (0,), (1203,)], "eventId int")
+    assert [r["eventName"] for r in with_event_name(ids, d).collect()] == ["openat", "syscall_999", "call_0", "do_exit"]
 
 
 def test_math_of_log_counts(spark):
