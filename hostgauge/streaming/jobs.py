@@ -8,6 +8,7 @@ reads the folders as a stream.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections import deque
 from collections.abc import Callable
@@ -37,6 +38,9 @@ SCORE_TABLE = (
 ALERT_TABLE = CROSSING_SCHEMA + ", `trigger` string"
 
 
+_STARTING = threading.Lock()  # two streams that start at once must not mix up the setting
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> bool:
     """Publishes a micro-batch once; false if it was published before.
 
@@ -80,13 +84,14 @@ def start_stream(writer: DataStreamWriter, checkpoint: str, trigger: dict) -> St
     next data, and a stream that only drains its source comes to an end."""
     conf = writer._spark.conf
     name = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
-        # the stream keeps a copy of the settings it was started with
-        return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    finally:
-        conf.set(name, before)
+    with _STARTING:
+        before = conf.get(name)
+        conf.set(name, "false")
+        try:
+            # the stream keeps a copy of the settings it was started with
+            return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+        finally:
+            conf.set(name, before)
 
 
 def start_ingest(
