@@ -34,8 +34,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 END = b"\n"  # no word holds it
 WORDS = 200_000  # words whose counts every task knows, at most; the others' counts are joined
 SAMPLE = 2000  # documents of the warm-up
-RUN, EVERY = 20, 1600  # a run of 20 words out of every 1,600 words (or fewer) of a training document
-WARM_EVERY = 100  # the same in the sample of the warm-up
+RUN, EVERY = 16, 1600  # a run of 16 words out of every 1,600 words (or fewer) of a training document
+WARM_EVERY = 80  # the same in the sample of the warm-up
 FITTED = 10  # one sample document in so many fits the mix and is not warmed up on
 WARM_EPOCHS, BATCH, RATE, ROUND_RATE = 8, 32, 0.012, 0.003
 _FLUSH = 600_000  # distinct words that a task counts before it hands them on
@@ -217,14 +217,14 @@ def _id_counts(counts: DataFrame, path: str, size: int) -> np.ndarray:
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(path)
-        total = np.zeros(size, np.int64)
+        total = [0] * size
         for batch in batches:
             found, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for w, k, ids in zip(found, n, subwords.of_words(found)):
                 for i in [size - 1] if w == END else ids:
                     total[i] += k
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
+        at = [i for i, n in enumerate(total) if n]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i] for i in at], pa.int64())], names=["id", "n"])
 
     found = counts.select("word", "n").mapInArrow(spell, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, np.int64)

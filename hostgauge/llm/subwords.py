@@ -11,6 +11,7 @@ import base64
 
 import numpy as np
 import tiktoken
+import tiktoken.registry
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -21,16 +22,24 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class Subwords:
-    """Strings that look like special tokens are ordinary text. ``size``: number of ids."""
-
-    def __init__(self, path: str):
+def _encoding(path: str) -> tiktoken.Encoding:
+    # kept where the library keeps its own, which outlives a task: a worker reads the file once
+    known = tiktoken.registry.ENCODINGS
+    if path not in known:
         import public_tokenizers
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.size = len(ranks)
-        self._encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        known[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return known[path]
+
+
+class Subwords:
+    """Strings that look like special tokens are ordinary text. ``size``: number of ids."""
+
+    def __init__(self, path: str):
+        self._encoding = _encoding(path)
+        self.size = self._encoding.n_vocab
 
     def ids(self, text: str | None) -> np.ndarray:
         return self._encoding.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
