@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BLOCK = 16
-WIDTH, HIDDEN = 16, 24
+WIDTH, HIDDEN = 16, 16
 GROUPS, PLACES = 32, 32
 FIRST = 12  # groups of ids that begin a word (or end the text); the others hold what goes on a word
 HALVES = ((0, FIRST * PLACES), (FIRST * PLACES, GROUPS * PLACES))  # the last place of each is that of its rare ids
@@ -117,13 +117,14 @@ class Attention:
         """What depends on a place alone, worked out once for all ids to be scored."""
         e, p = self.p["embed"], self.p
         return {
-            "q": e @ p["q"] / np.float32(np.sqrt(WIDTH)), "k": e @ p["k"], "v": e @ p["v"], "own": e @ p["own"] + p["hidden"],
+            "q": e @ p["q"] / np.float32(np.sqrt(WIDTH)), "kv": np.hstack([e @ p["k"], e @ p["v"]]), "own": e @ p["own"] + p["hidden"],
             "bias": self._bias(),
         }
 
     def _attend(self, windows: np.ndarray, t: dict[str, np.ndarray]):
         current = windows[:, BLOCK:]
-        keys, values = np.take(t["k"], windows, 0), np.take(t["v"], windows, 0)
+        both = np.take(t["kv"], windows, 0)
+        keys, values = both[..., :WIDTH], both[..., WIDTH:]
         sight = np.matmul(np.take(t["q"], current, 0), keys.transpose(0, 2, 1))
         sight += t["bias"]
         np.minimum(sight, _MOST, out=sight)
@@ -143,8 +144,11 @@ class Attention:
         for at in range(0, len(windows), _BATCH):  # as much as fits a core's cache
             w, r = windows[at : at + _BATCH], real[at : at + _BATCH]
             current, *_, seen = self._attend(w, t)
-            part = np.matmul(seen.reshape(-1, WIDTH), self.p["mixed"])[r.ravel()]
-            part += np.take(t["own"], current[r], 0)
+            part = np.matmul(seen.reshape(-1, WIDTH), self.p["mixed"])
+            own = current.ravel()
+            if not r.all():  # only where a document ends
+                part, own = part[r.ravel()], own[r.ravel()]
+            part += np.take(t["own"], own, 0)
             parts.append(np.maximum(part, 0, out=part))
         hidden = np.concatenate(parts) if parts else np.empty((0, HIDDEN), np.float32)
         wanted = targets[real]

@@ -32,7 +32,7 @@ from hostgauge.session import materialize
 FOLDS = 10
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 END = b"\n"  # no word holds it
-WORDS = 200_000  # words whose counts every task knows, at most; the others' counts are joined
+WORDS = 400_000  # words whose counts every task knows, at most; the others' counts are joined
 SAMPLE = 2000  # documents of the warm-up
 RUN, EVERY = 16, 1600  # a run of 16 words out of every 1,600 words (or fewer) of a training document
 WARM_EVERY = 80  # the same in the sample of the warm-up
@@ -41,7 +41,7 @@ WARM_EPOCHS, BATCH, RATE, ROUND_RATE = 8, 32, 0.012, 0.003
 _FLUSH = 600_000  # distinct words that a task counts before it hands them on
 _TOKENS = 40_000  # ids laid out together
 _WINDOWS = 2048  # windows scored together
-_KNOWN = 800_000  # words whose ids a task remembers
+_KNOWN = 900_000  # words whose ids a task remembers
 
 
 class Speller:
