@@ -25,6 +25,7 @@ PAD = GROUPS * PLACES  # nothing: before a document, after its end
 _FAR, _MOST, _LEAST = np.float32(-1e9), np.float32(60), np.float32(1e-30)
 _ONES = np.ones((2 * BLOCK, 1), np.float32)
 _BATCH = 96  # windows
+_ROWS = 1024  # targets
 
 
 @dataclass
@@ -121,14 +122,32 @@ class Attention:
             "bias": self._bias(),
         }
 
+    def scoring(self) -> dict[str, np.ndarray]:
+        """The tables as ``log10`` takes them. Values are already those of the hidden units, with a last
+        column that counts what is seen; ``out`` holds both steps' weights per group, biases last."""
+        t, p = self.tables(), self.p
+        keys, values = t["kv"][:, :WIDTH], t["kv"][:, WIDTH:] @ p["mixed"]
+        counted = np.hstack([values, np.ones((PAD + 1, 1), np.float32)])
+        counted[PAD] = 0  # padding is not seen
+        weights = np.concatenate([np.broadcast_to(p["group"], (GROUPS, HIDDEN, GROUPS)), p["inside"]], 2)
+        biases = np.hstack([np.broadcast_to(p["group_bias"], (GROUPS, GROUPS)), p["inside_bias"]])
+        return t | {
+            "kv": np.hstack([keys, counted]), "own": np.hstack([t["own"], np.ones((PAD + 1, 1), np.float32)]),
+            "out": np.concatenate([weights, biases[:, None, :]], 1),
+        }
+
+    def _sight(self, current: np.ndarray, keys: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
+        """How much each query looks at each key, before it is divided by the sum."""
+        sight = np.matmul(np.take(t["q"], current, 0), keys.transpose(0, 2, 1))
+        sight += t["bias"]
+        _clipped(sight)
+        return np.exp(sight, out=sight)
+
     def _attend(self, windows: np.ndarray, t: dict[str, np.ndarray]):
         current = windows[:, BLOCK:]
         both = np.take(t["kv"], windows, 0)
         keys, values = both[..., :WIDTH], both[..., WIDTH:]
-        sight = np.matmul(np.take(t["q"], current, 0), keys.transpose(0, 2, 1))
-        sight += t["bias"]
-        np.minimum(sight, _MOST, out=sight)
-        np.exp(sight, out=sight)
+        sight = self._sight(current, keys, t)
         padded = windows == PAD
         edge = np.flatnonzero(padded.any(1))
         sight[edge] *= ~padded[edge][:, None, :]
@@ -139,33 +158,33 @@ class Attention:
         return current, keys, values, sight, total, seen
 
     def log10(self, windows: np.ndarray, targets: np.ndarray, real: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
-        """Per real target in stream order: log10 probability of its place, and that a word begins there."""
-        parts = []
+        """Per real target in stream order: log10 probability of its place, and that a word begins there.
+        ``t`` is what ``scoring`` gives."""
+        hidden = np.empty((len(windows), BLOCK, HIDDEN + 1), np.float32)
         for at in range(0, len(windows), _BATCH):  # as much as fits a core's cache
-            w, r = windows[at : at + _BATCH], real[at : at + _BATCH]
-            current, *_, seen = self._attend(w, t)
-            part = np.matmul(seen.reshape(-1, WIDTH), self.p["mixed"])
-            own = current.ravel()
-            if not r.all():  # only where a document ends
-                part, own = part[r.ravel()], own[r.ravel()]
-            part += np.take(t["own"], own, 0)
-            parts.append(np.maximum(part, 0, out=part))
-        hidden = np.concatenate(parts) if parts else np.empty((0, HIDDEN), np.float32)
+            w = windows[at : at + _BATCH]
+            current, both = w[:, BLOCK:], np.take(t["kv"], w, 0)
+            seen = np.matmul(self._sight(current, both[..., :WIDTH], t), both[..., WIDTH:])
+            seen /= seen[..., HIDDEN:] + _LEAST
+            seen[..., HIDDEN] = 0
+            seen += np.take(t["own"], current, 0)
+            np.maximum(seen, 0, out=hidden[at : at + _BATCH])
         wanted = targets[real]
         group, place = np.divmod(wanted, PLACES)
         order = np.argsort(group.astype(np.int8), kind="stable")
         cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        hidden, place = np.take(hidden, order, 0), place[order]
-        found = np.empty((len(wanted), 2), np.float32)
-        for g in range(GROUPS):  # rows of one group at a time, so the group's own logits are a column
-            at = slice(cuts[g], cuts[g + 1])
-            if cuts[g] < cuts[g + 1]:
-                share, e, total = _log_share(hidden[at] @ self.p["group"] + self.p["group_bias"], g)
-                found[at, 1] = np.log(e[:, :FIRST] @ _ONES[:FIRST, 0] / total)
-                found[at, 0] = share + _log_share(hidden[at] @ self.p["inside"][g] + self.p["inside_bias"][g], place[at])[0]
+        hidden, place = np.take(hidden.reshape(-1, HIDDEN + 1), np.flatnonzero(real)[order], 0), place[order] + GROUPS
+        found, rows = np.empty((len(wanted), 2), np.float32), np.arange(len(wanted))
+        for g in range(GROUPS):  # rows of one group at a time, so the weights of both steps are one matrix
+            for a in range(cuts[g], cuts[g + 1], _ROWS):
+                at = slice(a, min(a + _ROWS, cuts[g + 1]))
+                logits = _clipped(hidden[at] @ t["out"][g])
+                chosen = logits[:, g] + logits[rows[: len(logits)], place[at]]
+                found[at, 0], found[at, 1] = _shares(logits, chosen)
         out = np.empty_like(found)
         out[order] = found
-        return out * np.float32(1 / np.log(10))
+        out *= np.float32(1 / np.log(10))
+        return out
 
     def gradient(self, windows: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean loss (nats) of the real targets and its gradient, flat."""
@@ -227,13 +246,17 @@ def _add_up(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.bincount(at.ravel(), rows.ravel(), (PAD + 1) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
 
 
-def _log_share(logits: np.ndarray, wanted: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log of the wanted one's share of the exponentials; these, and their sum."""
-    np.minimum(logits, _MOST, out=logits)
-    chosen = logits[:, wanted].copy() if isinstance(wanted, int) else logits[np.arange(len(wanted)), wanted]
+def _clipped(x: np.ndarray) -> np.ndarray:
+    """``x`` itself, changed in place, so that its exponentials are finite."""
+    return x if x.max() <= _MOST else np.minimum(x, _MOST, out=x)
+
+
+def _shares(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log shares in both steps together of what was chosen, and in the first step of the groups that begin a word."""
     np.exp(logits, out=logits)
-    total = logits @ _ONES[: logits.shape[1], 0]
-    return chosen - np.log(total), logits, total
+    total = np.log(logits[:, :GROUPS] @ _ONES[:GROUPS, 0])
+    begins = np.log(logits[:, :FIRST] @ _ONES[:FIRST, 0]) - total
+    return chosen - total - np.log(logits[:, GROUPS:] @ _ONES[:PLACES, 0]), begins
 
 
 def _softmax_loss(logits: np.ndarray, wanted: np.ndarray) -> tuple[float, np.ndarray]:

@@ -128,7 +128,7 @@ class Scorer:
     """log10 probabilities of words by the attention model, whole documents at a time."""
 
     def __init__(self, speller: Speller, model: Attention):
-        self.speller, self.model, self.tables = speller, model, model.tables()
+        self.speller, self.model, self.tables = speller, model, model.scoring()
         self.start = int(speller._vocabulary.place[speller.end])
 
     def score(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +198,8 @@ def _counted(train: DataFrame, text: str) -> DataFrame:
 
 
 def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
-    """The most frequent words, at most ``most``, cut at a count: all words above it."""
+    """The most frequent words, at most ``most``, cut at a count: all words above it; by falling
+    count, so that what is looked up most lies together in memory."""
     level = F.floor(F.log2("n") * 16)
     per_level = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
     total, lowest = 0, None
@@ -208,7 +209,7 @@ def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
         total, lowest = total + n, at
     if lowest is None:
         return {}
-    found = counts.where(level >= lowest).toPandas()
+    found = counts.where(level >= lowest).toPandas().sort_values(["n", "word"], ascending=[False, True])
     return dict(zip(map(bytes, found["word"]), found["n"].tolist()))
 
 

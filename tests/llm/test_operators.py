@@ -306,13 +306,13 @@ def test_attention_gradient_and_causality():
         down, _ = model.gradient(*laid)
         model.flat[k] = old
         assert (up - down) / 2e-2 == pytest.approx(g[k], abs=2e-3)
-    all_of = model.log10(*laid, model.tables())
+    all_of = model.log10(*laid, model.scoring())
     assert len(all_of) == 61  # every id once
     changed = runs[0].copy()
     changed[30:] = 7
-    part = model.log10(*lay_out([changed], [3]), model.tables())
+    part = model.log10(*lay_out([changed], [3]), model.scoring())
     assert np.allclose(part[:30], all_of[:30], atol=1e-5)  # what comes later does not matter
-    sure = model.log10(*lay_out([np.array([i], np.int32) for i in range(PAD)], [3] * PAD), model.tables())
+    sure = model.log10(*lay_out([np.array([i], np.int32) for i in range(PAD)], [3] * PAD), model.scoring())
     assert (10.0 ** sure[:, 0]).sum() == pytest.approx(1, abs=1e-3)
 
 
