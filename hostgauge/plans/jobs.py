@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hostgauge.fixed_values import (
     CONTAMINATION, FEATURES, HIGH_PERCENTILE, LEGACY_CONTAMINATION, LEGACY_FEATURES, LEGACY_N_TREES, LOW_PERCENTILE,
@@ -23,7 +23,7 @@ from hostgauge.operators.model_stats import (
 from hostgauge.plans.features import feature_rows
 from hostgauge.schemas import require
 from hostgauge.session import materialize, shared_folder
-from hostgauge.sources.model_store import Meta, Model, load_model, save_meta, save_table
+from hostgauge.sources.model_store import Meta, Model, load_meta, load_model, save_meta, save_table
 
 ROW_KEY = ["hostName", "userId", "processId", "ts_us", "seq"]
 
@@ -57,11 +57,28 @@ class TrainOptions:
         return entity_key(self.group_mode, self.user_col, self.host_col or "hostName")
 
 
-def _stored(df: DataFrame, what: str) -> DataFrame:
-    """Result of an expensive step as a table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/hostgauge-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+class Steps:
+    """Results of expensive steps as tables in the shared folder; they go when the job ends, also if it fails."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark).rstrip('/')}/hostgauge-job-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> "Steps":
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        path = f"{self.folder}/{what}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+
+def _row(df: DataFrame) -> DataFrame:
+    """A report of one row, worked out now, as what it was read from goes."""
+    return df.sparkSession.createDataFrame([df.first()], df.schema)
 
 
 def training_features(train: DataFrame, freq_tables: DataFrame, context: str = "benign") -> DataFrame:
@@ -85,12 +102,16 @@ def train(train_events: DataFrame, validation_events: DataFrame, out_dir: str, o
     """Trains, stores the model in ``out_dir`` and returns a one-row report."""
     o = options or TrainOptions()
     o.check()
+    with Steps(train_events.sparkSession) as steps:
+        return _train(complete(train_events), complete(validation_events), out_dir, o, steps)
+
+
+def _train(train_events: DataFrame, validation_events: DataFrame, out_dir: str, o: TrainOptions, steps: Steps) -> DataFrame:
     spark = train_events.sparkSession
-    train_events, validation_events = complete(train_events), complete(validation_events)
 
     freq = save_table(frequency_tables(benign(train_events)), out_dir, "freq_tables")
     # used by the scaler and by the sample, so computed once
-    features = _stored(training_features(train_events, freq, o.context), "train")
+    features = steps.stored(training_features(train_events, freq, o.context), "train")
     stats = scaler_dict(save_table(scaler_statistics(features).coalesce(1), out_dir, "scaler_stats"))
     if any(m is None for m, _ in stats.values()):
         raise ValueError("no benign rows to train on")
@@ -104,7 +125,7 @@ def train(train_events: DataFrame, validation_events: DataFrame, out_dir: str, o
     validation = feature_rows(
         validation_events.withColumn("entity", o.entity()), freq, [*ROW_KEY, "entity", *labels], missing_is_thread=True
     )
-    scores = _stored(with_scores(validation, draft).select(*ROW_KEY, "entity", "normality_score", *labels), "scores")
+    scores = steps.stored(with_scores(validation, draft).select(*ROW_KEY, "entity", "normality_score", *labels), "scores")
     percentiles = (o.low_percentile, o.high_percentile)
     cap = o.max_scores_per_entity
     per_entity = capped_per_entity(scores, ROW_KEY, cap, o.seed) if cap else scores
@@ -130,7 +151,8 @@ def training_report(
         F.count_if(F.col("table_name") == t).alias(f"{t}_entries") for t in ("eventId", "mountNamespace", "processName")
     ]).first()
     row = {
-        "saved_to": out_dir, "n_features": len(FEATURES), "benign_sample_used": sample, "n_trees": o.n_trees,
+        "saved_to": out_dir, "group_mode": o.group_mode, "low_percentile": o.low_percentile,
+        "high_percentile": o.high_percentile, "n_features": len(FEATURES), "benign_sample_used": sample, "n_trees": o.n_trees,
         "contamination": o.contamination, "max_samples": str(o.max_samples), "entities_thresholded": thresholds.count(),
         "global_low": meta.global_low, "global_high": meta.global_high, "global_n_scores": meta.global_n_scores,
         **sizes.asDict(),
@@ -169,13 +191,14 @@ def predict(events: DataFrame, model: Model, attach_features: bool = False, keep
 def test(events: DataFrame, model: Model) -> DataFrame:
     """One-row report on labelled events."""
     require(events, "evil")
-    labelled = _stored(predict(events, model, keep=["seq", "evil"]), "test")
     policy = {
         "entity_mode": F.lit(model.meta.group_mode),
         "low_percentile": F.lit(model.meta.low_percentile),
         "high_percentile": F.lit(model.meta.high_percentile),
     }
-    return evaluate.test_report(labelled).withColumns(policy)
+    with Steps(events.sparkSession) as steps:
+        labelled = steps.stored(predict(events, model, keep=["seq", "evil"]), "test")
+        return _row(evaluate.test_report(labelled).withColumns(policy))
 
 
 def live_grades(
@@ -219,22 +242,51 @@ def legacy_scores(events: DataFrame, model: LegacyModel, *keep: str) -> DataFram
 def train_legacy(
     train_events: DataFrame, validation_events: DataFrame, n_trees: int = LEGACY_N_TREES,
     contamination: float = LEGACY_CONTAMINATION, metric: str = "f1", seed: int = SEED,
-    train_sample: int = TRAIN_SAMPLE,
+    train_sample: int = TRAIN_SAMPLE, out_dir: str | None = None,
 ) -> LegacyModel:
-    """Seven raw columns, one global threshold picked by a sweep on validation."""
+    """Seven raw columns, one global threshold picked by a sweep on validation; stored if ``out_dir`` is given."""
+    spark = train_events.sparkSession
     keys = [f"_{c}" for c in ROW_KEY]
     rows = benign(train_events).select("*", *[F.col(c).alias(k) for c, k in zip(ROW_KEY, keys)])
-    features = _stored(legacy_vector(rows, *keys), "legacy")
-    stats = scaler_dict(scaler_statistics(features, LEGACY_FEATURES))
-    fitted = fit(
-        scaled(features, stats), keys, n_trees, contamination, "auto", train_sample, seed, LEGACY_FEATURES
-    )
-    model = LegacyModel(stats, fitted.forest, float("nan"))
-    scores = materialize(legacy_scores(validation_events, model, "evil").select("evil", "normality_score"))
-    model.threshold = evaluate.pick_threshold(evaluate.sweep(scores), metric).first()["threshold"]
+    with Steps(spark) as steps:
+        features = steps.stored(legacy_vector(rows, *keys), "legacy")
+        measured = materialize(scaler_statistics(features, LEGACY_FEATURES))
+        stats = scaler_dict(measured)
+        fitted = fit(
+            scaled(features, stats), keys, n_trees, contamination, "auto", train_sample, seed, LEGACY_FEATURES
+        )
+        model = LegacyModel(stats, fitted.forest, float("nan"))
+        scores = steps.stored(legacy_scores(validation_events, model, "evil").select("evil", "normality_score"), "scores")
+        model.threshold = evaluate.pick_threshold(evaluate.sweep(scores), metric).first()["threshold"]
+    if out_dir:
+        save_table(fitted.nodes, out_dir, "forest_nodes")
+        save_table(measured.coalesce(1), out_dir, "scaler_stats")
+        meta = {"psi": model.forest.psi, "offset": model.forest.offset, "threshold": model.threshold, "features": LEGACY_FEATURES}
+        save_meta(spark, meta, out_dir)
     return model
 
 
+def load_legacy(spark: SparkSession, folder: str) -> LegacyModel:
+    """What ``train_legacy`` stored; a model of other columns is refused."""
+    meta = load_meta(spark, folder)
+    if meta["features"] != LEGACY_FEATURES:
+        raise ValueError(f"the model in {folder} has the columns {meta['features']}; train it again")
+    nodes = spark.read.parquet(f"{folder}/forest_nodes").toPandas()  # a size that the parameters fix
+    scaler = scaler_dict(spark.read.parquet(f"{folder}/scaler_stats"))
+    return LegacyModel(scaler, Forest.from_nodes(nodes, meta["psi"], meta["offset"]), meta["threshold"])
+
+
+def predict_legacy(
+    events: DataFrame, model: LegacyModel, attach_features: bool = False, keep: list[str] = ("hostName", "userId", "seq")
+) -> DataFrame:
+    """``keep``, if asked the unscaled columns, the score, and 1 for rows below the threshold."""
+    keep = list(dict.fromkeys([*keep, *(LEGACY_FEATURES if attach_features else [])]))
+    renamed = {f"_{c}": F.col(c) for c in keep}  # the vector has columns of the same names
+    rows = legacy_scores(events.withColumns(renamed), model, *renamed)
+    below = (F.col("normality_score") < model.threshold).cast("int")
+    return rows.select(*[F.col(f"_{c}").alias(c) for c in keep], "normality_score", below.alias("malicious_pred"))
+
+
 def test_legacy(events: DataFrame, model: LegacyModel, name: str = "test") -> DataFrame:
     scores = materialize(legacy_scores(events, model, "evil").select("evil", "normality_score"))
     return evaluate.single_threshold_report(scores, model.threshold, name=name)
@@ -248,6 +300,6 @@ def train_per_host(train_events: DataFrame, validation_events: DataFrame, out_di
 
 
 __all__ = [
-    "TrainOptions", "train", "train_legacy", "train_per_host", "predict", "test", "test_legacy", "live_grades",
+    "TrainOptions", "train", "train_legacy", "load_legacy", "predict_legacy", "train_per_host", "predict", "test", "test_legacy", "live_grades",
     "graded", "load_model",
 ]

@@ -36,7 +36,8 @@ def _unescaped(df: DataFrame) -> DataFrame:
 
 
 def read_events(
-    spark: SparkSession, path: str, fmt: str = "parquet", strict: list[str] | None = None, escaped: bool = False
+    spark: SparkSession, path: str, fmt: str = "parquet", strict: list[str] | None = None, escaped: bool = False,
+    numbered: bool = False,
 ) -> DataFrame:
     """Event table with the 16 columns; absent ones are null, bad numbers too.
 
@@ -45,6 +46,9 @@ def read_events(
 
     CSV fields may hold line breaks, so one task reads a CSV file. Files that
     ``write_events`` wrote ``escaped`` hold none and are read in parts.
+
+    ``numbered`` adds ``seq``, which rises with the place of a row in its file
+    (and so tells rows of one time stamp apart); a ``seq`` in the table goes.
     """
     if fmt == "csv":
         # all as text, so that a bad number costs its cell and not the row
@@ -52,6 +56,8 @@ def read_events(
         raw = _unescaped(raw) if escaped else raw
     else:
         raw = spark.read.format(fmt).load(path)
+    if numbered:  # before any row is dropped, so that every use of the table sees the same numbers
+        raw = raw.withColumn("seq", F.monotonically_increasing_id())
     return tidy_events(raw, strict)
 
 

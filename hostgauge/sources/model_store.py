@@ -50,15 +50,20 @@ def save_table(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def save_meta(spark: SparkSession, meta: Meta, folder: str) -> None:
-    one = spark.createDataFrame([(json.dumps(asdict(meta)),)], "meta string")
+def save_meta(spark: SparkSession, meta: Meta | dict, folder: str) -> None:
+    values = meta if isinstance(meta, dict) else asdict(meta)
+    one = spark.createDataFrame([(json.dumps(values),)], "meta string")
     save_table(one.coalesce(1), folder, "model_meta")
 
 
+def load_meta(spark: SparkSession, folder: str) -> dict:
+    return json.loads(spark.read.parquet(f"{folder}/model_meta").first()["meta"])
+
+
 def load_model(spark: SparkSession, folder: str) -> Model:
     """All tables but frequencies and thresholds have a size the parameters fix."""
     t = {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
-    meta = Meta(**json.loads(t["model_meta"].first()["meta"]))
+    meta = Meta(**load_meta(spark, folder))
     check_features(meta)
     forest = Forest.from_nodes(t["forest_nodes"].toPandas(), meta.psi, meta.offset)
     return Model(meta, forest, scaler_dict(t["scaler_stats"]), t["freq_tables"], t["thresholds"])

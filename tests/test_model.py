@@ -1,11 +1,16 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hostgauge.fixed_values import FEATURES
+from hostgauge.fixed_values import FEATURES, LEGACY_FEATURES
 from hostgauge.operators import isolation_forest as forest
 from hostgauge.plans import jobs
+from hostgauge.schemas import with_clock
+from hostgauge.session import shared_folder
+from hostgauge.sources.events import read_events, write_events
 from hostgauge.sources.model_store import Meta, check_features, load_model
 from tests.conftest import events
 
@@ -155,9 +160,28 @@ def test_variants(spark, tmp_path):
     day = host_day(spark)
     per_host = jobs.train_per_host(day, day, str(tmp_path / "m"), jobs.TrainOptions(n_trees=20, context="all")).first()
     assert per_host["entities_thresholded"] == 2
-    legacy = jobs.train_legacy(day, day, n_trees=20)
+    folder = str(tmp_path / "v1")
+    legacy = jobs.train_legacy(day, day, n_trees=20, out_dir=folder)
     r = jobs.test_legacy(day, legacy).first()
     assert r["n"] == 400 and r["threshold"] == legacy.threshold
+    rows = jobs.predict_legacy(day, jobs.load_legacy(spark, folder))
+    assert rows.columns == ["hostName", "userId", "seq", "normality_score", "malicious_pred"]
+    wide = jobs.predict_legacy(day, legacy, attach_features=True, keep=["seq"])
+    assert wide.columns == ["seq", *LEGACY_FEATURES, "normality_score", "malicious_pred"]
+    assert wide.exceptAll(rows.join(day.select("seq", *[c for c in LEGACY_FEATURES if c != "userId"]), "seq").select(wide.columns)).isEmpty()
+    assert rows.count() == 400 and rows.agg(F.sum("malicious_pred")).first()[0] == r["tp"] + r["fp"]
+
+
+def test_jobs_leave_nothing_in_the_shared_folder(spark, trained):
+    jobs.test(host_day(spark), trained[0]).collect()
+    assert not list(Path(shared_folder(spark)).glob("hostgauge-job-*"))
+
+
+def test_numbered_events_go_through_the_jobs(spark, trained, tmp_path):
+    write_events(host_day(spark), str(tmp_path / "e"), "csv", escaped=True)
+    read = with_clock(read_events(spark, str(tmp_path / "e"), "csv", escaped=True, numbered=True))
+    rows = jobs.predict(read, trained[0]).collect()
+    assert len(rows) == 400 and len({r["seq"] for r in rows}) == 400
 
 
 def test_scores_per_entity_can_be_capped(spark, tmp_path):
