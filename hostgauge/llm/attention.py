@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BLOCK = 16
-WIDTH, HIDDEN = 16, 16
+WIDTH, HIDDEN = 16, 32
 GROUPS, PLACES = 32, 32
 FIRST = 12  # groups of ids that begin a word (or end the text); the others hold what goes on a word
 HALVES = ((0, FIRST * PLACES), (FIRST * PLACES, GROUPS * PLACES))  # the last place of each is that of its rare ids
@@ -193,28 +193,30 @@ class Attention:
         d = g.p
         t = self.tables()
         current, keys, values, sight, total, seen = self._attend(windows, t)
-        rows = real.ravel()
-        flat_seen, own = seen.reshape(-1, WIDTH)[rows], current[real]
-        hidden = np.maximum(flat_seen @ p["mixed"] + t["own"][own], 0)
-        wanted = targets[real]
-        n = max(1, len(wanted))
-        group, place = wanted // PLACES, wanted % PLACES
-        loss, d_out = _softmax_loss(hidden @ p["group"] + p["group_bias"], group)
-        d["group"][:] = hidden.T @ d_out
-        d["group_bias"][:] = d_out.sum(0)
-        d_hidden = d_out @ p["group"].T
-        for x in np.unique(group):
-            at = np.flatnonzero(group == x)
-            more, d_out = _softmax_loss(hidden[at] @ p["inside"][x] + p["inside_bias"][x], place[at])
+        group, place = np.divmod(targets[real], PLACES)
+        order = np.argsort(group.astype(np.int8), kind="stable")  # one group after the other, as in ``log10``
+        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        rows, place = np.flatnonzero(real)[order], place[order] + GROUPS
+        flat_seen, own = np.take(seen.reshape(-1, WIDTH), rows, 0), np.take(current.ravel(), rows)
+        hidden = np.maximum(flat_seen @ p["mixed"] + np.take(t["own"], own, 0), 0)
+        n, loss, d_hidden = max(1, len(rows)), 0.0, np.empty_like(hidden)
+        for x in np.flatnonzero(np.diff(cuts)):
+            at = slice(cuts[x], cuts[x + 1])
+            weights = np.hstack([p["group"], p["inside"][x]])
+            logits = hidden[at] @ weights
+            logits += np.concatenate([p["group_bias"], p["inside_bias"][x]])
+            more, d_out = _loss(logits, x, place[at])
             loss += more
-            d["inside"][x] = hidden[at].T @ d_out
-            d["inside_bias"][x] = d_out.sum(0)
-            d_hidden[at] += d_out @ p["inside"][x].T
+            d_weights, d_bias = hidden[at].T @ d_out, d_out.sum(0)
+            d["group"] += d_weights[:, :GROUPS]
+            d["group_bias"] += d_bias[:GROUPS]
+            d["inside"][x], d["inside_bias"][x] = d_weights[:, GROUPS:], d_bias[GROUPS:]
+            np.matmul(d_out, weights.T, out=d_hidden[at])
         d_hidden *= hidden > 0
         d["hidden"][:] = d_hidden.sum(0)
         d["mixed"][:] = flat_seen.T @ d_hidden
-        d["own"][:] = e[own].T @ d_hidden
-        d_seen = np.zeros((len(rows), WIDTH), np.float32)
+        d["own"][:] = np.take(e, own, 0).T @ d_hidden
+        d_seen = np.zeros((real.size, WIDTH), np.float32)
         d_seen[rows] = d_hidden @ p["mixed"].T
         d_seen = d_seen.reshape(seen.shape)
         sight /= total
@@ -229,13 +231,15 @@ class Attention:
         d_keys = np.matmul(d_sight.transpose(0, 2, 1), np.take(t["q"], current, 0)).reshape(-1, WIDTH)
         d_values = d_values.reshape(-1, WIDTH)
         at_query, at_key = current.ravel(), windows.ravel()
-        d["q"][:] = e[at_query].T @ d_query
-        d["k"][:] = e[at_key].T @ d_keys
-        d["v"][:] = e[at_key].T @ d_values
-        d_embed = _add_up(at_key, d_keys @ p["k"].T + d_values @ p["v"].T)
-        d_embed += _add_up(at_query, d_query @ p["q"].T)
-        d_embed += _add_up(own, d_hidden @ p["own"].T)
-        d["embed"][:] = d_embed
+        d["q"][:] = np.take(e, at_query, 0).T @ d_query
+        looked_at = np.take(e, at_key, 0).T
+        d["k"][:] = looked_at @ d_keys
+        d["v"][:] = looked_at @ d_values
+        d_query = d_query @ p["q"].T
+        d_query[rows] += d_hidden @ p["own"].T
+        d_window = (d_keys @ p["k"].T + d_values @ p["v"].T).reshape(*windows.shape, WIDTH)
+        d_window[:, BLOCK:] += d_query.reshape(*current.shape, WIDTH)  # a query's place is among those of its window
+        d["embed"][:] = _add_up(at_key, d_window.reshape(-1, WIDTH))
         g.flat /= n
         return loss / n, g.flat
 
@@ -259,13 +263,15 @@ def _shares(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndar
     return chosen - total - np.log(logits[:, GROUPS:] @ _ONES[:PLACES, 0]), begins
 
 
-def _softmax_loss(logits: np.ndarray, wanted: np.ndarray) -> tuple[float, np.ndarray]:
-    logits = logits - logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    rows = np.arange(len(wanted))
-    loss = float(-np.log(logits[rows, wanted] + 1e-12).sum())
-    logits[rows, wanted] -= 1
+def _loss(logits: np.ndarray, group: int, place: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loss of both steps together for targets of one group, and its gradient by the logits (changed in place)."""
+    rows = np.arange(len(logits))
+    np.exp(_clipped(logits), out=logits)
+    for step in (logits[:, :GROUPS], logits[:, GROUPS:]):
+        step /= step @ _ONES[: step.shape[1]] + _LEAST
+    loss = -float(np.log(logits[:, group] + 1e-12).sum() + np.log(logits[rows, place] + 1e-12).sum())
+    logits[:, group] -= 1
+    logits[rows, place] -= 1
     return loss, logits
 
 

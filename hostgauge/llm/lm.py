@@ -2,9 +2,10 @@
 
 What is learnt from the training fold grows with it: counts of all words, from
 them the frequencies of subword ids, and the attention model's weights. These are
-warmed up on the driver on a bounded sample and then trained in one round over all
-training documents: every task goes on from the same weights with runs of words
-of its own documents, and the weights are averaged by the ids seen.
+warmed up on the driver on runs of words of a bounded sample and then trained in one
+round over every word of all training documents: every task goes on from the same
+weights with the whole texts of its own documents, laid out as they are scored, and
+the weights are averaged by the ids seen.
 
 The model's chance of a word is a mix of the attention model's (the product over
 the word's ids, times the chance that the word ends there) and the word's share of
@@ -16,7 +17,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -34,13 +35,13 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 END = b"\n"  # no word holds it
 WORDS = 400_000  # words whose counts every task knows, at most; the others' counts are joined
 SAMPLE = 2000  # documents of the warm-up
-RUN, EVERY = 16, 1600  # a run of 16 words out of every 1,600 words (or fewer) of a training document
-WARM_EVERY = 80  # the same in the sample of the warm-up
+RUN, WARM_EVERY = 40, 160  # the warm-up takes a run of 40 words out of every 160 words (or fewer) of a sample document
 FITTED = 10  # one sample document in so many fits the mix and is not warmed up on
 WARM_EPOCHS, BATCH, RATE, ROUND_RATE = 8, 32, 0.012, 0.003
 _FLUSH = 600_000  # distinct words that a task counts before it hands them on
 _TOKENS = 40_000  # ids laid out together
 _WINDOWS = 2048  # windows scored together
+_STEP = 256  # windows of a step of the training round
 _KNOWN = 900_000  # words whose ids a task remembers
 
 
@@ -124,20 +125,36 @@ def _cut(places: np.ndarray, starts: np.ndarray, sizes: list[int]) -> list[np.nd
     return np.split(places, starts[firsts[1:]])
 
 
+def _whole(speller: Speller, documents: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    """Whole documents (each with the end last) laid out: numbers of their words, where each word begins among
+    the places, number of the first word of each document; windows, targets and which are real."""
+    sizes = list(map(len, documents))
+    numbers = speller.look_up(list(chain.from_iterable(documents)))
+    places, starts = speller.spell(numbers)
+    start = int(speller._vocabulary.place[speller.end])
+    laid = lay_out(_cut(places, starts, sizes), [start] * len(documents))
+    return numbers, starts, np.cumsum([0, *sizes[:-1]]), *laid
+
+
+def lessons(speller: Speller, documents: list[list[bytes]]) -> Iterator[tuple]:
+    """Every word of the documents once, with the past that it is scored with; windows in a drawn order."""
+    *_, windows, targets, real = _whole(speller, documents)
+    order = np.random.default_rng(len(windows)).permutation(len(windows))
+    for a in range(0, len(order), _STEP):
+        at = order[a : a + _STEP]
+        yield windows[at], targets[at], real[at]
+
+
 class Scorer:
     """log10 probabilities of words by the attention model, whole documents at a time."""
 
     def __init__(self, speller: Speller, model: Attention):
         self.speller, self.model, self.tables = speller, model, model.scoring()
-        self.start = int(speller._vocabulary.place[speller.end])
 
     def score(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all words of the documents (each with the end last) in order: log10 chance and
         known count; and the number of the first word of each document."""
-        sizes = list(map(len, documents))
-        numbers = self.speller.look_up(list(chain.from_iterable(documents)))
-        places, starts = self.speller.spell(numbers)
-        windows, targets, real = lay_out(_cut(places, starts, sizes), [self.start] * len(documents))
+        numbers, starts, firsts, windows, targets, real = _whole(self.speller, documents)
         parts = [
             self.model.log10(windows[a : a + _WINDOWS], targets[a : a + _WINDOWS], real[a : a + _WINDOWS], self.tables)
             for a in range(0, len(windows), _WINDOWS)
@@ -145,14 +162,13 @@ class Scorer:
         found = np.concatenate(parts).astype(np.float64)
         begins = found[starts, 1]  # chance that the word before ended, which is that one's
         chance = np.add.reduceat(found[:, 0], starts) + self.speller.share[numbers] - begins
-        firsts = np.cumsum([0, *sizes[:-1]])
         begins[firsts] = 0.0  # nothing stands before a document
         chance[:-1] += begins[1:]
         return chance, self.speller.count[numbers], firsts
 
 
-def runs(found: list[bytes], every: int = EVERY) -> list[tuple[bytes | None, list[bytes]]]:
-    """Runs of words to learn from, with the word before (None: the start), at places drawn by the text itself."""
+def runs(found: list[bytes], every: int = WARM_EVERY) -> list[tuple[bytes | None, list[bytes]]]:
+    """Runs of words to warm up on, with the word before (None: the start), at places drawn by the text itself."""
     rng = np.random.default_rng([zlib.crc32(b" ".join(found[:64])), len(found)])
     out = []
     for s in range(0, len(found), every):
@@ -163,7 +179,7 @@ def runs(found: list[bytes], every: int = EVERY) -> list[tuple[bytes | None, lis
 
 
 def _batches(speller: Speller, taken: list[tuple[bytes | None, list[bytes]]]) -> Iterator[tuple]:
-    """Laid out for training; the first input of a run is the last id of the word before (or the end)."""
+    """Laid out for the warm-up; the first input of a run is the last id of the word before (or the end)."""
     for a in range(0, len(taken), BATCH):
         part = taken[a : a + BATCH]
         all_words = [w for before, run in part for w in (END if before is None else before, *run)]
@@ -234,25 +250,31 @@ def _id_counts(counts: DataFrame, path: str, size: int) -> np.ndarray:
     return out
 
 
+def _in_parts(texts: Iterable) -> Iterator[list[list[bytes]]]:
+    """Words (the end last) of so many texts as are laid out together."""
+    found, size_of = [], 0
+    for t in texts:
+        found.append(words(t.as_py()) + [END])
+        size_of += len(found[-1])
+        if size_of * 3 > _TOKENS:
+            yield found
+            found, size_of = [], 0
+    if found:
+        yield found
+
+
 def _trained(train: DataFrame, text: str, start: Attention, path: str, vocabulary: Vocabulary, table: dict, ready: tuple) -> Attention:
-    """One round over all training texts: tasks train on from ``start``, weights are averaged by ids seen."""
+    """One round over all words of all training texts: tasks train on from ``start``, weights are averaged by ids seen."""
     shared = train.sparkSession.sparkContext.broadcast((start.flat, vocabulary, table, ready))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, voc, top, spelled = shared.value
         speller, model = Speller(path, voc, top, spelled), Attention(flat)
-        trainer, waiting, seen = Trainer(model, ROUND_RATE), [], 0
-        for batch in batches:
-            for t in batch.column(0):
-                waiting += runs(words(t.as_py()) + [END])
-                if len(waiting) >= BATCH:
-                    for b in _batches(speller, waiting):
-                        trainer.learn(*b)
-                        seen += int(b[2].sum())
-                    waiting = []
-        for b in _batches(speller, waiting):
-            trainer.learn(*b)
-            seen += int(b[2].sum())
+        trainer, seen = Trainer(model, ROUND_RATE), 0
+        for documents in _in_parts(t for batch in batches for t in batch.column(0)):
+            for b in lessons(speller, documents):
+                trainer.learn(*b)
+                seen += int(b[2].sum())
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([model.flat.tolist()], pa.list_(pa.float32())), pa.array([seen], pa.int64())], names=["weights", "seen"]
@@ -321,7 +343,7 @@ def score_texts(
         for batch in batches:
             for t in batch.column(0):
                 found = words(t.as_py()) + [END]
-                some = runs(found, WARM_EVERY)
+                some = runs(found)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([zlib.crc32(b" ".join(found))] * len(some), pa.int64()),
                      pa.array([w for _, w in some], pa.list_(pa.binary())), pa.array([b for b, _ in some], pa.binary())],
@@ -379,15 +401,10 @@ def score_texts(
             return pa.RecordBatch.from_arrays([*batch.slice(first, len(found)).columns[:n_keep], *columns], names=names)
 
         for batch in batches:
-            first, found, size_of = 0, [], 0
-            for t in batch.column(n_keep):
-                found.append(words(t.as_py()) + [END])
-                size_of += len(found[-1])
-                if size_of * 3 > _TOKENS:
-                    yield out(batch, first, found)
-                    first, found, size_of = first + len(found), [], 0
-            if found:
+            first = 0
+            for found in _in_parts(batch.column(n_keep)):
                 yield out(batch, first, found)
+                first += len(found)
             row += batch.num_rows
 
     judged = materialize(source.mapInArrow(judge, out_schema))

@@ -290,6 +290,30 @@ def test_lm_scores(docs, empty):
     assert lm.score_texts(empty).count() == 0
 
 
+def test_lm_learns_from_every_word(spark):
+    from hostgauge.llm.attention import HIDDEN, Attention, Vocabulary
+    from hostgauge.llm.subwords import Subwords, vocabulary_path
+
+    path = vocabulary_path(lm.VOCABULARY)
+    begins = np.append(Subwords(path).begins_word(), True)
+    vocabulary = Vocabulary.of(np.arange(len(begins))[::-1].copy(), begins)
+    text = ["the", "of", "and", "to"] * 1200
+    speller = lm.Speller(path, vocabulary, {})
+    start = Attention()
+
+    def weights(words):
+        train = spark.createDataFrame([(" ".join(words),)], "text string")
+        return lm._trained(train, "text", start, path, vocabulary, {}, speller.ready()).flat
+
+    first = weights(text)
+    for at in (700, 1599, 2400, 3900, 4799):  # one word anywhere changes what is learnt
+        assert np.abs(weights([*text[:at], "in", *text[at + 1 :]]) - first).max() > 0, at
+    documents = [[*split("a b c d"), lm.END], [lm.END], [*split(" ".join(text)), lm.END]]
+    ids = sum(len(speller.spell(speller.look_up(d))[0]) for d in documents)
+    assert sum(int(real.sum()) for _, _, real in lm.lessons(speller, documents)) == ids
+    assert HIDDEN == 32
+
+
 def test_attention_gradient_and_causality():
     from hostgauge.llm.attention import PAD, Attention, lay_out
 
