@@ -9,7 +9,8 @@ the weights are averaged by the ids seen.
 
 The model's chance of a word is a mix of the attention model's (the product over
 the word's ids, times the chance that the word ends there) and the word's share of
-the training words, where the word is among the most frequent ones.
+the training words. Every task knows the shares of the most frequent words; those of
+the others are joined, so how many every task knows changes no result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hostgauge.llm.attention import Attention, Trainer, Vocabulary, lay_out
 from hostgauge.llm.common import crc_mod, words
@@ -290,15 +291,26 @@ def _trained(train: DataFrame, text: str, start: Attention, path: str, vocabular
     return Attention(out)
 
 
-def _share_of_attention(scorer: Scorer, sample: list[list[bytes]], total: int) -> float:
+def _rare_counts(counts: DataFrame, sample: list[list[bytes]], known: dict[bytes, int]) -> dict[bytes, int]:
+    """Counts of the sample's words that are not known to all."""
+    rare = sorted({END, *chain.from_iterable(sample)} - known.keys())
+    wanted = counts.sparkSession.createDataFrame([(w,) for w in rare], "word binary")
+    return {bytes(r["word"]): r["n"] for r in counts.join(F.broadcast(wanted), "word").collect()} if rare else {}
+
+
+def _share_of_attention(scorer: Scorer, sample: list[list[bytes]], total: int, rare: dict[bytes, int]) -> float:
     """Weight of the attention model in the mix, by expectation-maximisation on the sample.
 
     A sample document's own word is taken out of the counts, as it would not be in
-    those of a new document.
+    those of a new document. ``rare`` has the counts that the scorer does not know.
     """
     chance, share = [], []
     for a in range(0, len(sample), 64):
-        log, count, _ = scorer.score([d + [END] for d in sample[a : a + 64]])
+        documents = [d + [END] for d in sample[a : a + 64]]
+        log, count, _ = scorer.score(documents)
+        all_words = list(chain.from_iterable(documents))
+        for i in np.flatnonzero(count < 0).tolist():
+            count[i] = rare.get(all_words[i], 0)
         chance.append(10.0**log)
         share.append(np.maximum(count - 1, 0) / max(1, total))
     if not chance or not total:
@@ -318,8 +330,8 @@ def score_texts(
     Learns from rows whose crc32 of the id is not 0 modulo 10 (null ids as empty
     text). Tokens are words, lower-cased A-Z, and one end per text; null and empty
     texts are one end. ``base_score`` sums log10((c + 0.1) / (N + 0.1 (V + 1))) with
-    exact counts: those of the ``known`` most frequent words go to every task, those
-    of other words are joined. Repeated rows score alike and count each. Without
+    exact counts, and ``score`` mixes with shares by exact counts: those of the ``known``
+    most frequent words go to every task, those of other words are joined. Repeated rows score alike and count each. Without
     training rows the weights are the starting ones. No rows in, no rows out.
     """
     keep = keep or [doc_id]
@@ -362,7 +374,7 @@ def score_texts(
         for b in _batches(speller, [taken[i] for i in rng.permutation(len(taken))]):
             trainer.learn(*b)
     model = _trained(train, text, model, path, vocabulary, table, speller.ready())
-    mixed = _share_of_attention(Scorer(speller, model), fitted, n_train)
+    mixed = _share_of_attention(Scorer(speller, model), fitted, n_train, _rare_counts(counts, fitted, table))
 
     shared = spark.sparkContext.broadcast((model.flat, vocabulary, table, speller.ready()))
     floor = n_train + 0.1 * (n_types + 1)
@@ -371,7 +383,7 @@ def score_texts(
     out_schema = T.StructType([
         *source.schema.fields[:n_keep],
         *T.StructType.fromDDL(
-            "row bigint, n_tokens bigint, known bigint, base double, score double, word array<binary>, m array<bigint>"
+            "row bigint, n_tokens bigint, known bigint, base double, score double, word array<binary>, chances array<array<double>>"
         ).fields,
     ])
     names = out_schema.fieldNames()
@@ -387,16 +399,17 @@ def score_texts(
             with np.errstate(divide="ignore"):
                 log_share = np.log(np.maximum(count, 0) * ((1 - mixed) / max(1, n_train)))
             score = np.logaddexp(chance * math.log(10) + math.log(mixed), log_share) / math.log(10)
+            score = np.where(there, score, 0.0)
             base = np.where(there, np.log10((np.maximum(count, 0) + 0.1) / floor), 0.0)
-            rare: list[Counter] = [Counter() for _ in found]
+            rare: list[dict[bytes, list[float]]] = [{} for _ in found]
             gaps = np.flatnonzero(~there)
             in_doc = np.searchsorted(firsts, gaps, side="right") - 1
-            for i, d in zip((gaps - firsts[in_doc]).tolist(), in_doc.tolist()):
-                rare[d][found[d][i]] += 1
+            for i, d, c in zip((gaps - firsts[in_doc]).tolist(), in_doc.tolist(), chance[gaps].tolist()):
+                rare[d].setdefault(found[d][i], []).append(c)
             columns = [
                 pa.array(np.arange(row + first, row + first + len(found))), pa.array(list(map(len, found)), pa.int64()),
                 *[pa.array(np.add.reduceat(v, firsts)) for v in ((count > 0).astype(np.int64), base, score)],
-                pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
+                pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.list_(pa.float64()))),
             ]
             return pa.RecordBatch.from_arrays([*batch.slice(first, len(found)).columns[:n_keep], *columns], names=names)
 
@@ -408,12 +421,20 @@ def score_texts(
             row += batch.num_rows
 
     judged = materialize(source.mapInArrow(judge, out_schema))
-    rare = judged.select("row", F.inline(F.arrays_zip("word", "m")))
+    rare = judged.select("row", F.inline(F.arrays_zip("word", "chances")))
     log10 = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / floor)
+    m, log_share = F.size("chances"), F.log10(F.col("n") * F.lit((1 - mixed) / max(1, n_train)))  # null: no share
+
+    def mix(chance: Column) -> Column:
+        own = chance + F.lit(math.log10(mixed))
+        both = F.greatest(own, log_share) + F.log1p(F.pow(F.lit(10.0), -F.abs(own - log_share))) / math.log(10)
+        return F.coalesce(both, own)
+
     joined = rare.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("m") * log10).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("rare_known")
+        F.sum(m * log10).alias("rare_base"), F.sum(F.when(F.col("n") > 0, m).otherwise(0)).alias("rare_known"),
+        F.sum(F.aggregate("chances", F.lit(0.0), lambda total, c: total + mix(c))).alias("rare_score"),
     )
-    whole = judged.drop("word", "m").join(joined, "row", "left")
+    whole = judged.drop("word", "chances").join(joined, "row", "left")
     return whole.select(
         *keep,
         (crc_mod("__id", FOLDS) == 0).alias("held_out"),
@@ -421,5 +442,5 @@ def score_texts(
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )

@@ -290,6 +290,15 @@ def test_lm_scores(docs, empty):
     assert lm.score_texts(empty).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_how_many_words_every_task_knows(docs):
+    few, all_of = (
+        sorted((r.doc_id is not None, r.doc_id, r.n_tokens, r.base_score, r.score) for r in lm.score_texts(docs.coalesce(1), known=k).collect())
+        for k in (5, lm.WORDS)
+    )
+    assert [r[:3] for r in few] == [r[:3] for r in all_of]
+    assert np.allclose([r[3:] for r in few], [r[3:] for r in all_of], rtol=1e-5)
+
+
 def test_lm_learns_from_every_word(spark):
     from hostgauge.llm.attention import HIDDEN, Attention, Vocabulary
     from hostgauge.llm.subwords import Subwords, vocabulary_path
