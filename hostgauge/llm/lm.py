@@ -37,7 +37,7 @@ END = b"\n"  # no word holds it
 WORDS = 400_000  # words whose counts every task knows, at most; the others' counts are joined
 SAMPLE = 2000  # documents of the warm-up
 RUN, WARM_EVERY = 40, 160  # the warm-up takes a run of 40 words out of every 160 words (or fewer) of a sample document
-FITTED = 10  # one sample document in so many fits the mix and is not warmed up on
+FINE, _FAR = 256, 30  # the mix is fitted on ratios of chances per 1/256 of a power of ten, within 10^30
 WARM_EPOCHS, BATCH, RATE, ROUND_RATE = 8, 32, 0.012, 0.003
 _FLUSH = 600_000  # distinct words that a task counts before it hands them on
 _TOKENS = 40_000  # ids laid out together
@@ -291,33 +291,48 @@ def _trained(train: DataFrame, text: str, start: Attention, path: str, vocabular
     return Attention(out)
 
 
-def _rare_counts(counts: DataFrame, sample: list[list[bytes]], known: dict[bytes, int]) -> dict[bytes, int]:
-    """Counts of the sample's words that are not known to all."""
-    rare = sorted({END, *chain.from_iterable(sample)} - known.keys())
-    wanted = counts.sparkSession.createDataFrame([(w,) for w in rare], "word binary")
-    return {bytes(r["word"]): r["n"] for r in counts.join(F.broadcast(wanted), "word").collect()} if rare else {}
+def _binned(ratios: np.ndarray) -> pa.RecordBatch:
+    """Ratios (log10) as one row per bin: how many, and their sum."""
+    kept = np.clip(ratios, -_FAR, _FAR)
+    bins, at = np.unique(np.floor(kept * FINE).astype(np.int64), return_inverse=True)
+    columns = [pa.nulls(len(bins), pa.binary()), pa.array(bins), pa.array(np.bincount(at, minlength=len(bins)).astype(np.int64)),
+               pa.array(np.bincount(at, kept, len(bins)).astype(np.float64))]
+    return pa.RecordBatch.from_arrays(columns, names=["word", "bin", "m", "total"])
 
 
-def _share_of_attention(scorer: Scorer, sample: list[list[bytes]], total: int, rare: dict[bytes, int]) -> float:
-    """Weight of the attention model in the mix, by expectation-maximisation on the sample.
+def _share_of_attention(train: DataFrame, text: str, counts: DataFrame, total: int, path: str, shared) -> float:
+    """Weight of the attention model in the mix, by expectation-maximisation on all words of all training texts.
 
-    A sample document's own word is taken out of the counts, as it would not be in
-    those of a new document. ``rare`` has the counts that the scorer does not know.
+    A word itself is taken out of the counts, as it would not be in those of a new
+    document. The expectation of a word depends only on the ratio of its share to its
+    chance, so tasks hand on how many words have which ratio.
     """
-    chance, share = [], []
-    for a in range(0, len(sample), 64):
-        documents = [d + [END] for d in sample[a : a + 64]]
-        log, count, _ = scorer.score(documents)
-        all_words = list(chain.from_iterable(documents))
-        for i in np.flatnonzero(count < 0).tolist():
-            count[i] = rare.get(all_words[i], 0)
-        chance.append(10.0**log)
-        share.append(np.maximum(count - 1, 0) / max(1, total))
-    if not chance or not total:
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, voc, top, ready = shared.value
+        scorer = Scorer(Speller(path, voc, top, ready), Attention(flat))
+        for found in _in_parts(t for batch in batches for t in batch.column(0)):
+            chance, count, _ = scorer.score(found)
+            with np.errstate(divide="ignore"):
+                yield _binned((np.log10(np.maximum(count - 1, 0) / total) - chance)[count >= 0])
+            all_words, gaps = list(chain.from_iterable(found)), np.flatnonzero(count < 0)
+            if len(gaps):
+                columns = [pa.array([all_words[i] for i in gaps.tolist()], pa.binary()), pa.nulls(len(gaps), pa.int64()),
+                           pa.array(np.ones(len(gaps), np.int64)), pa.array(chance[gaps])]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "bin", "m", "total"])
+
+    if not total:
         return 1.0
-    p, q, w = np.concatenate(chance), np.concatenate(share), 0.5
+    each = materialize(train.select(text).mapInArrow(ratios, "word binary, bin bigint, m bigint, total double"))
+    ratio = F.coalesce(F.log10((F.col("n") - 1) / F.lit(total)) - F.col("total"), F.lit(-float(_FAR)))  # seen once: no share
+    ratio = F.greatest(F.lit(-float(_FAR)), F.least(F.lit(float(_FAR)), ratio))
+    rare = each.where("word IS NOT NULL").join(counts, "word").select(F.floor(ratio * FINE).alias("bin"), "m", ratio.alias("total"))
+    known = each.where("word IS NULL").select("bin", "m", "total")
+    bins = known.unionAll(rare).groupBy("bin").agg(F.sum("m").alias("m"), F.sum("total").alias("total")).orderBy("bin").toPandas()
+    m, w = bins["m"].to_numpy(np.float64), 0.5  # at most 2 * _FAR * FINE + 1 bins
+    ratio = 10.0 ** (bins["total"].to_numpy() / m)
     for _ in range(50):
-        w = float(np.mean(w * p / (w * p + (1 - w) * q + 1e-300)))
+        w = float((m * (w / (w + (1 - w) * ratio))).sum() / m.sum())
     return min(max(w, 0.01), 1.0)
 
 
@@ -362,11 +377,10 @@ def score_texts(
                     names=["document", "words", "before"],
                 )
 
-    found = picked.mapInArrow(pick, schema).limit(16 * sample).collect()
+    # the same runs whatever the tasks' order
+    found = picked.mapInArrow(pick, schema).orderBy(F.xxhash64("document", "words", "before"), "document").limit(16 * sample).collect()
     found.sort(key=lambda r: (r["document"], r["words"], r["before"] or b""))
-    taken = [(r["document"], r["before"] and bytes(r["before"]), [bytes(w) for w in r["words"]]) for r in found]
-    fitted = [w[:-1] if w[-1] == END else w for d, _, w in taken if d % FITTED == 0]
-    taken = [(b, w) for d, b, w in taken if d % FITTED]
+    taken = [(r["before"] and bytes(r["before"]), [bytes(w) for w in r["words"]]) for r in found]
     speller, model = Speller(path, vocabulary, table), Attention()
     trainer, rng = Trainer(model, RATE), np.random.default_rng(3)
     for epoch in range(WARM_EPOCHS):
@@ -374,9 +388,8 @@ def score_texts(
         for b in _batches(speller, [taken[i] for i in rng.permutation(len(taken))]):
             trainer.learn(*b)
     model = _trained(train, text, model, path, vocabulary, table, speller.ready())
-    mixed = _share_of_attention(Scorer(speller, model), fitted, n_train, _rare_counts(counts, fitted, table))
-
     shared = spark.sparkContext.broadcast((model.flat, vocabulary, table, speller.ready()))
+    mixed = _share_of_attention(train, text, counts, n_train, path, shared)
     floor = n_train + 0.1 * (n_types + 1)
     source = docs.select(*keep, F.col(doc_id).alias("__id"), text)
     n_keep = len(keep) + 1

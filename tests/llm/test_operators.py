@@ -299,6 +299,31 @@ def test_lm_scores_do_not_depend_on_how_many_words_every_task_knows(docs):
     assert np.allclose([r[3:] for r in few], [r[3:] for r in all_of], rtol=1e-5)
 
 
+def test_lm_mix_is_fitted_on_all_training_words(spark):
+    from hostgauge.llm.attention import Attention, Vocabulary
+    from hostgauge.llm.subwords import Subwords, vocabulary_path
+
+    path = vocabulary_path(lm.VOCABULARY)
+    begins = np.append(Subwords(path).begins_word(), True)
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randrange(1, 400)) for _ in range(60)] + [None, "once", "zz zz"]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = lm._counted(train, "text").cache()
+    exact = {bytes(r.word): r.n for r in counts.collect()}
+    total = sum(exact.values())
+    vocabulary, model = Vocabulary.of(lm._id_counts(counts, path, len(begins)), begins), Attention()
+    few = {w: exact[w] for w in sorted(exact, key=exact.get)[-7:]}
+    speller = lm.Speller(path, vocabulary, few)
+    shared = spark.sparkContext.broadcast((model.flat, vocabulary, few, speller.ready()))
+    got = lm._share_of_attention(train, "text", counts, total, path, shared)
+    documents = [[*split(t), lm.END] for t in texts]
+    p = 10.0 ** lm.Scorer(speller, model).score(documents)[0]
+    q, w = np.array([(exact[x] - 1) / total for d in documents for x in d]), 0.5
+    for _ in range(50):
+        w = np.mean(w * p / (w * p + (1 - w) * q))
+    assert got == pytest.approx(max(w, 0.01), rel=1e-4)
+
+
 def test_lm_learns_from_every_word(spark):
     from hostgauge.llm.attention import HIDDEN, Attention, Vocabulary
     from hostgauge.llm.subwords import Subwords, vocabulary_path
