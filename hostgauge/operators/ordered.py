@@ -167,21 +167,27 @@ def first_rows(
     return out
 
 
+def rank_bits(n: int) -> int:
+    """Bits of the hash that leave some 65,536 of ``n`` rows to a bin at most, 12 at least."""
+    return max(12, (n >> 16).bit_length())
+
+
 def with_random_rank(df: DataFrame, key: list[str], seed: int, rank: str = "rank", limit: int | None = None) -> DataFrame:
     """A dense 0-based rank in an order that the hash of ``key`` makes random.
 
     ``key`` must identify a row. Equal runs give equal ranks, on any cluster.
     With ``limit`` only the rows ranked below it are kept.
     """
-    rows = df.withColumn("_h", row_hash(key, seed)).withColumn("_bin", hash_bin(F.col("_h")))
+    bits = rank_bits(df.count())
+    rows = df.withColumn("_h", row_hash(key, seed)).withColumn("_bin", hash_bin(F.col("_h"), bits))
     per_bin = rows.groupBy("_bin").agg(F.count(F.lit(1)).alias("_c"))
     up_to = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    # at most 4096 bins
     starts = per_bin.withColumn("_start", F.sum("_c").over(up_to) - F.col("_c")).drop("_c")
     if limit is not None:
         starts = starts.where(F.col("_start") < limit)
+    starts = lookup_side(materialize(starts))
     within = Window.partitionBy("_bin").orderBy("_h", *key)
-    out = rows.join(F.broadcast(starts), "_bin").withColumn(rank, F.col("_start") + F.row_number().over(within) - 1)
+    out = rows.join(starts, "_bin").withColumn(rank, F.col("_start") + F.row_number().over(within) - 1)
     if limit is not None:
         out = out.where(F.col(rank) < limit)
     return out.drop("_h", "_bin", "_start")

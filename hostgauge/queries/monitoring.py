@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from hostgauge.functions.text import time_since
 from hostgauge.operators import monitor
 from hostgauge.operators.filters import tracked_users
+from hostgauge.operators.ordered import exact_quantiles
 from hostgauge.queries.registry import DAY_US, S, T, query, rounded
 from hostgauge.queries.statistics import scored_events
+from hostgauge.session import materialize
 from hostgauge.sources.tables import table, telemetry
 
 
@@ -50,8 +52,8 @@ SELECT *, CASE WHEN samples < 100 THEN 'warming-up' WHEN observed_low_pct > 6 TH
 
 def _drift(spark, sf_dir, sample: int):
     s = _scores(spark, sf_dir)
-    q = "percentile(raw_score, {})"
-    th = s.where("sus = 0").agg(F.expr(q.format("0.02D")).alias("low"), F.expr(q.format("0.002D")).alias("high")).first()
+    benign = materialize(s.where("sus = 0").select("raw_score"))
+    th = exact_quantiles(benign, "raw_score", {"low": 0.02, "high": 0.002}).first()
     found = monitor.drift(s, th["low"], th["high"], 2.0, sample)
     return rounded(found, 6, *[c for c in found.columns if c not in ("samples", "status")])
 

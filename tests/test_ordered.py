@@ -76,6 +76,28 @@ def test_random_rank_is_dense_and_stable(spark):
     assert {r["k"] for r in few} == {k for k, rank in one.items() if rank < 100}
 
 
+def test_bins_of_ranks_grow_in_number_with_the_rows(spark):
+    from hostgauge.operators import ordered
+
+    assert ordered.rank_bits(3000) == 12
+    for n in (10**6, 10**9, 10**12):
+        assert n >> ordered.rank_bits(n) <= 65_536
+
+
+def test_drift_thresholds_gather_no_scores(spark, monkeypatch):
+    from hostgauge.queries import monitoring
+
+    asked = []
+
+    def watched(df, value, probs, *more):
+        asked.append(probs)
+        return exact_quantiles(df, value, probs, *more)
+
+    monkeypatch.setattr(monitoring, "exact_quantiles", watched)
+    monitoring.score_drift(spark, "/root/testdata/sf0.001").collect()
+    assert asked == [{"low": 0.02, "high": 0.002}]
+
+
 def test_bin_by(spark):
     cuts = [-1.0, 0.0, 0.0, 2.5]
     df = spark.createDataFrame([(x,) for x in (-2.0, -1.0, -0.5, 0.0, 1.0, 2.5, 9.0)], "v double")
