@@ -47,8 +47,13 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(both, union).sum() / len(union)) if len(union) else 1.0
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Part of ``a``'s shingles that are in ``b``."""
+def containment(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Part of ``a``'s shingles that are in ``b``; None if ``a`` only has the hash that stands in for none below.
+
+    A longer text's sketch never holds that one, so it says nothing of the text.
+    """
+    if len(a) and a[0] >= _LIMIT:
+        return None
     return float(np.isin(a, b).sum() / len(a)) if len(a) else 1.0
 
 

@@ -402,6 +402,14 @@ def test_sketches(docs, empty):
     assert (sketches.load(sketches.dump(s)) == s).all()
 
 
+def test_containment_of_a_text_with_no_small_hash_is_unknown():
+    rng = random.Random(10)
+    whole = prose(rng, 30_000)
+    parts = [whole[a : a + 20] for a in range(0, 4000, 40)]  # five shingles each
+    found = [sketches.containment(sketches.sketch(t), sketches.sketch(whole)) for t in parts]
+    assert set(found) == {None, 1.0}
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
