@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 SLICE = 256  # rows turned into Python objects at a time
+SPACE = r"[\x20\x09-\x0D]+"  # what separates words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
