@@ -30,7 +30,7 @@ THRESHOLD = 0.9
 TARGET = 0.98  # share of the neighbours at the threshold that the visits are to find
 SAMPLE = 16_384  # vectors that the codebooks and the budget are fitted on, by hash order
 SEED = 13
-PER_CELL = 8  # vectors a cell holds on average, as long as the codebooks are below their bound
+PER_CELL = 64  # vectors a cell holds on average, as long as the codebooks are below their bound
 MAX_CODES = 512
 ROUNDS = 8
 BLOCK = 1024  # vectors of a cell in one part
