@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hostgauge.fixed_values import DRIFT_MIN_SAMPLE, DRIFT_SAMPLE, LOW_PERCENTILE
+from hostgauge.fixed_values import DRIFT_MIN_SAMPLE, DRIFT_SAMPLE, FEATURES, HIGH_PERCENTILE, LOW_PERCENTILE
 from hostgauge.operators.ordered import first_rows, side_by_side
 from hostgauge.session import lookup_side
 
@@ -40,8 +40,11 @@ def drift(
     expected_low_pct: float | None = LOW_PERCENTILE,
     sample: int = DRIFT_SAMPLE,
     score: str = "raw_score",
+    expected_high_pct: float | None = HIGH_PERCENTILE,
+    n_features: int = len(FEATURES),
 ) -> DataFrame:
-    """One row comparing the newest scores with what the thresholds promise."""
+    """One row comparing the newest scores with what the thresholds promise: the thresholds and what is expected of
+    them, and, once there are enough scores, what is observed."""
     low, high = F.lit(low), F.lit(high)
     newest = latest_rows(scores.where(F.col(score).isNotNull()).select("ts_us", "seq", score), sample)
     s = F.col(score)
@@ -62,7 +65,48 @@ def drift(
         .otherwise("ok")
     )
     measured = [c for c in found.columns if c != "samples"]
-    return found.select("samples", status.alias("status"), *[F.when(~few, F.col(c)).alias(c) for c in measured])
+    settings = {
+        "global_low_threshold": low.cast("double"), "global_high_threshold": high.cast("double"),
+        "expected_low_pct": F.lit(expected_low_pct).cast("double"), "expected_high_pct": F.lit(expected_high_pct).cast("double"),
+        "n_features": F.lit(n_features),
+    }
+    return found.select(
+        "samples", status.alias("status"), *[c.alias(k) for k, c in settings.items()],
+        *[F.when(~few, F.col(c)).alias(c) for c in measured],
+    )
+
+
+def drift_part(scores: DataFrame, low: float, high: float, score: str = "raw_score") -> DataFrame:
+    """One row of sums over scores, such that rows of several parts can be merged: count, mean, squared distance
+    from it, extremes, and hits per threshold."""
+    s = F.col(score)
+    return scores.where(s.isNotNull()).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean"),
+        F.coalesce(F.var_pop(s) * F.count(F.lit(1)), F.lit(0.0)).alias("m2"), F.min(s).alias("least"), F.max(s).alias("most"),
+        F.count_if(s < F.lit(low)).alias("below_low"), F.count_if(s < F.lit(high)).alias("below_high"),
+    )
+
+
+def drift_of_parts(
+    parts: list[dict], low: float, high: float, expected_low_pct: float | None, expected_high_pct: float | None, n_features: int
+) -> tuple:
+    """What ``drift`` says, from the parts of a sample."""
+    n, mean, m2 = 0, 0.0, 0.0
+    held = [p for p in parts if p["n"]]
+    for p in held:
+        both, away = n + p["n"], p["mean"] - mean
+        m2 += p["m2"] + away * away * n * p["n"] / both
+        mean += away * p["n"] / both
+        n = both
+    settings = (low, high, expected_low_pct, expected_high_pct, n_features)
+    if n < DRIFT_MIN_SAMPLE:
+        return (n, "warming-up", *settings, *[None] * 6)
+    below_low = sum(p["below_low"] for p in held) * 100.0 / n
+    below_high = sum(p["below_high"] for p in held) * 100.0 / n
+    expected = float(expected_low_pct or 0.0)
+    status = "drift-suspected" if expected > 0 and below_low > expected * 3 else "ok"
+    extremes = min(p["least"] for p in held), max(p["most"] for p in held)
+    return (n, status, *settings, below_low, below_high, mean, (m2 / n) ** 0.5, *extremes)
 
 
 def host_activity(batches: DataFrame, hosts: DataFrame, as_of_us: Column, window_us: int = 60_000_000) -> DataFrame:

@@ -9,6 +9,7 @@ results are exact; bins only decide which task sorts which rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,6 +18,8 @@ from hostgauge.session import lookup_side, materialize
 
 BINS_PER_OCTAVE = 1024
 _OCTAVES = 1100  # more than the exponents of a double
+SORTED_AT_ONCE = 1_000_000  # distinct values of a bin that one task sorts; larger bins are cut again
+_PARTS = 1024
 
 
 def value_bin(value: Column) -> Column:
@@ -46,7 +49,8 @@ def exact_quantiles(
 
 
 def quantile_array(
-    df: DataFrame, value: str, probs: list[float], groups: list[str] | None = None, n: str = "n_scores"
+    df: DataFrame, value: str, probs: list[float], groups: list[str] | None = None, n: str = "n_scores",
+    sorted_at_once: int = SORTED_AT_ONCE,
 ) -> DataFrame:
     """``quantiles``, the linearly interpolated quantiles in the order of ``probs``, and ``n``.
 
@@ -88,6 +92,7 @@ def quantile_array(
     counted = values.join(wanted, [*groups, "_bin"]).groupBy(*groups, "_bin", "_v").agg(
         F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("_n", "_start", "_ranks")]
     )
+    counted = _split_crowded(counted, groups, sorted_at_once)
     inside = Window.partitionBy(*groups, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picks = (
         counted
@@ -107,6 +112,77 @@ def quantile_array(
     return at_rank.select(*groups, F.transform(wishes, between).alias("quantiles"), n)
 
 
+def _split_crowded(counted: DataFrame, groups: list[str], most: int) -> DataFrame:
+    """Rows (value, count) of bins that hold wanted ranks, without bins of more than ``most`` distinct values.
+
+    A crowded bin is cut into ``_PARTS`` equal ranges of its values, and only the ranges
+    that hold a wanted rank go on; each round narrows a range by that factor, so a few
+    rounds tell even neighbouring doubles apart. Bins that are small enough wait aside.
+    """
+    keys = [*groups, "_bin"]
+    counted = materialize(counted)
+    done = None
+    while True:
+        sizes = counted.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_distinct"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+        )
+        crowded = materialize(sizes.where((F.col("_distinct") > most) & (F.col("_low") < F.col("_high"))).drop("_distinct"))
+        if crowded.isEmpty():
+            return counted if done is None else done.unionByName(counted)
+        crowded = lookup_side(crowded)
+        small = counted.join(crowded.select(*keys), keys, "left_anti")
+        done = small if done is None else done.unionByName(small)
+        # the distance of two very large doubles may be infinite, that of their halves is not
+        scale = F.when(F.greatest(F.abs("_low"), F.abs("_high")) > 1e300, 0.5).otherwise(1.0)
+        low = F.col("_low") * scale
+        place = (F.col("_v") * scale - low) / (F.col("_high") * scale - low)
+        part = F.least(F.floor(place * _PARTS), F.lit(_PARTS - 1)).cast("bigint")
+        rows = counted.join(crowded, keys).withColumn("_part", part).drop("_low", "_high")
+        per_part = rows.groupBy(*keys, "_part").agg(
+            F.sum("_c").alias("_in"), *[F.first(c).alias(c) for c in ("_start", "_ranks")]
+        )
+        before = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        at = F.col("_start") + F.coalesce(before, F.lit(0))
+        wanted = F.filter("_ranks", lambda r: (r >= F.col("_at")) & (r < F.col("_at") + F.col("_in")))
+        kept = per_part.withColumn("_at", at).withColumn("_of", wanted).where(F.size("_of") > 0)
+        # ranges are numbered apart from all bins and from those of other rounds
+        number = F.xxhash64("_bin", "_part", F.col("_at"))
+        kept = materialize(kept.select(*keys, "_part", "_at", "_of", number.alias("_next")))
+        rows = rows.drop("_start", "_ranks").join(lookup_side(kept), [*keys, "_part"])
+        counted = materialize(rows.select(
+            *groups, F.col("_next").alias("_bin"), "_v", "_c", "_n", F.col("_at").alias("_start"), F.col("_of").alias("_ranks")
+        ))
+
+
+def running_total(
+    df: DataFrame, weight: str, order: list[Column], bins: list[Column], groups: list[str] | None = None, out: str = "start",
+    store: Callable[[DataFrame], DataFrame] = materialize,
+) -> DataFrame:
+    """``out``: the sum of ``weight`` over the rows before a row, per group or overall.
+
+    ``bins``, coarse to fine, must not fall along ``order`` and must not be null. Each
+    level adds up whole bins inside those of the level above, so no task sees more than
+    the finer bins of one bin, and in the end the rows of one finest bin. Give it stored rows.
+    """
+    groups = list(groups or [])
+    rows = df.withColumns({f"__bin{i}": b for i, b in enumerate(bins)})
+    names: list[str] = []
+    starts = None
+    for i in range(len(bins)):
+        above, name = [*groups, *names], f"__bin{i}"
+        per_bin = rows.groupBy(*above, name).agg(F.sum(weight).alias("__w"))
+        up_to = Window.partitionBy(*above).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        level = per_bin.withColumn("__before", F.coalesce(F.sum("__w").over(up_to), F.lit(0))).drop("__w")
+        if starts is not None:
+            level = level.join(starts.withColumnRenamed("__before", "__above"), above).withColumn("__before", F.col("__before") + F.col("__above")).drop("__above")
+        starts = store(level)
+        names.append(name)
+    inside = Window.partitionBy(*groups, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.join(lookup_side(starts), [*groups, *names])
+    before = F.coalesce(F.sum(weight).over(inside), F.lit(0))
+    return found.withColumn(out, (F.col("__before") + before).cast("bigint")).drop("__before", *names)
+
+
 def rank_curve(df: DataFrame, value: str, sums: dict[str, Column]) -> DataFrame:
     """Distinct values in rising order with, per entry of ``sums``, the sum at the
     value (``name``), below it (``name_below``) and overall (``name_all``)."""

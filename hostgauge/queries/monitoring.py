@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hostgauge.fixed_values import FEATURES
 from hostgauge.functions.text import time_since
 from hostgauge.operators import monitor
 from hostgauge.operators.filters import tracked_users
@@ -46,7 +47,9 @@ WITH {S}, th AS (SELECT quantile_cont(score, 0.02) AS low, quantile_cont(score,
 x AS (SELECT s.*, th.low, th.high FROM s, th ORDER BY ts_us DESC, seq DESC LIMIT {sample}),
 d AS (SELECT count(*) AS samples, round(avg(CASE WHEN score < low THEN 100.0 ELSE 0 END), 6) AS observed_low_pct,
              round(avg(CASE WHEN score < high THEN 100.0 ELSE 0 END), 6) AS observed_high_pct, round(avg(score), 6) AS score_mean,
-             round(stddev_pop(score), 6) AS score_std, round(min(score), 6) AS score_min, round(max(score), 6) AS score_max FROM x)
+             round(stddev_pop(score), 6) AS score_std, round(min(score), 6) AS score_min, round(max(score), 6) AS score_max,
+             round(max(low), 6) AS global_low_threshold, round(max(high), 6) AS global_high_threshold,
+             2.0::DOUBLE AS expected_low_pct, 0.2::DOUBLE AS expected_high_pct, {len(FEATURES)} AS n_features FROM x)
 SELECT *, CASE WHEN samples < 100 THEN 'warming-up' WHEN observed_low_pct > 6 THEN 'drift-suspected' ELSE 'ok' END AS status FROM d"""
 
 
@@ -55,7 +58,7 @@ def _drift(spark, sf_dir, sample: int):
     benign = materialize(s.where("sus = 0").select("raw_score"))
     th = exact_quantiles(benign, "raw_score", {"low": 0.02, "high": 0.002}).first()
     found = monitor.drift(s, th["low"], th["high"], 2.0, sample)
-    return rounded(found, 6, *[c for c in found.columns if c not in ("samples", "status")])
+    return rounded(found, 6, *[c for c in found.columns if c not in ("samples", "status", "n_features")])
 
 
 @query("score_drift", _drift_sql(100_000))

@@ -94,10 +94,9 @@ def stream_live_scores(spark, sf_dir):
     folder = _folder(spark, "live")
     model = load_model(spark, trained_folder(spark, sf_dir)[0])
     _ingest(spark, sf_dir, folder)
-    events = jobs.stream_table(spark, f"{folder}/events", jobs.EVENT_TABLE)
     jobs.start_scoring(
-        events, model, f"{folder}/scores", f"{folder}/c2", source.DRAIN, f"{folder}/drift", f"{folder}/feed",
-        window_s=DAY_S, gap_s=2 * DAY_S,
+        f"{folder}/events", model, f"{folder}/scores", f"{folder}/c2", source.DRAIN, f"{folder}/drift", f"{folder}/feed",
+        spark=spark, window_s=DAY_S, gap_s=2 * DAY_S,
     ).awaitTermination()
     scores = jobs.stream_table(spark, f"{folder}/scores", jobs.SCORE_TABLE)
     jobs.start_alerts(scores, f"{folder}/alerts", f"{folder}/c3", source.DRAIN, **GATES).awaitTermination()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from hostgauge.functions.columns import whole_json
 from hostgauge.operators.filters import complete
 from hostgauge.schemas import EVENT_COLUMNS, EVENT_SCHEMA, NUMERIC_COLUMNS, conform
+from hostgauge.session import lookup_side, materialize
 
 # the writer would else cut white space off the ends of fields
 _CSV_OUT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -47,8 +48,9 @@ def read_events(
     CSV fields may hold line breaks, so one task reads a CSV file. Files that
     ``write_events`` wrote ``escaped`` hold none and are read in parts.
 
-    ``numbered`` adds ``seq``, which rises with the place of a row in its file
-    (and so tells rows of one time stamp apart); a ``seq`` in the table goes.
+    ``numbered`` adds ``seq``: 0, 1, 2, ... through the files by name and each file from
+    its top (so it tells rows of one time stamp apart); a ``seq`` in the table goes. The
+    numbers do not depend on how the files are split among tasks.
     """
     if fmt == "csv":
         # all as text, so that a bad number costs its cell and not the row
@@ -57,10 +59,29 @@ def read_events(
     else:
         raw = spark.read.format(fmt).load(path)
     if numbered:  # before any row is dropped, so that every use of the table sees the same numbers
-        raw = raw.withColumn("seq", F.monotonically_increasing_id())
+        raw = _numbered(raw)
     return tidy_events(raw, strict)
 
 
+def _numbered(raw: DataFrame) -> DataFrame:
+    """``seq`` by file, block of the file and place in the block.
+
+    Rows of a block are read in order by one task, so their distance from its first
+    row is their place. The rows per block are counted first and added up over all files.
+    """
+    block = ["_file", "_block"]
+    placed = raw.drop("seq").select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    counts = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    # a row per block, as the driver lists them anyway
+    before = F.sum("_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*block, "_first", F.coalesce(before, F.lit(0)).alias("_start"))
+    found = placed.join(lookup_side(materialize(starts)), block)
+    return found.withColumn("seq", F.col("_start") + F.col("_id") - F.col("_first")).drop(*block, "_id", "_first", "_start")
+
+
 def tidy_events(raw: DataFrame, strict: list[str] | None = None) -> DataFrame:
     needed = [c for c in ("eventId", "mountNamespace") if c in raw.columns]
     if strict:
@@ -118,19 +139,19 @@ def _field(event: Column, f: T.StructField) -> Column:
     return F.try_variant_get(event, f"$.{f.name}", "string")
 
 
-def decode_batches(messages: DataFrame) -> DataFrame:
-    """One row per event of each message; its host is the stream's.
+def decode_batches(messages: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """One row per event of each message, next to ``keep`` columns of the message; its host is the stream's.
 
     Messages that are no JSON array, and empty arrays, give no rows. ``seq`` is
     the event's position within ``msg_id``.
     """
     events = F.try_variant_get(whole_json(F.col("data")), "$", "array<variant>")
     exploded = messages.select(
-        stream_host(F.col("stream")).alias("_host"), "msg_id", "ingest_ts", F.posexplode(events).alias("pos", "_event")
+        stream_host(F.col("stream")).alias("_host"), "msg_id", "ingest_ts", *keep, F.posexplode(events).alias("pos", "_event")
     )
     cols = [_field(F.col("_event"), f).alias(f.name) for f in EVENT_SCHEMA if f.name != "hostName"]
-    picked = exploded.select("_host", "msg_id", "ingest_ts", "pos", *cols)
-    return picked.withColumnRenamed("_host", "hostName").select(*EVENT_COLUMNS, "msg_id", "ingest_ts", "pos")
+    picked = exploded.select("_host", "msg_id", "ingest_ts", "pos", *keep, *cols)
+    return picked.withColumnRenamed("_host", "hostName").select(*EVENT_COLUMNS, "msg_id", "ingest_ts", "pos", *keep)
 
 
 def encode_batches(events: DataFrame, batch: Column) -> DataFrame:

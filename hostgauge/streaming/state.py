@@ -1,17 +1,21 @@
 """Stateful operators over the event stream.
 
 State is kept per (key, time bucket), as in the batch windows: a busy key is
-spread over its buckets when a backlog is read, and a bucket's state goes away
-once it is idle. No row is dropped for being late; a late row is placed by its
-time among the rows still held.
+spread over its buckets when a backlog is read. It lies in RocksDB, a row at a time:
+a batch adds its rows to the list of its bucket and takes old ones out only when they
+are the larger part. A bucket's state goes when the watermark passes the bucket's end,
+by a timer in event time, whether its key is heard of again or not. Rows behind the
+watermark do not reach these operators; ``start_ingest`` sets them apart before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hostgauge.fixed_values import (
     ALERT_COUNT, ALERT_MIN_RATE, ALERT_MIN_SEVERITY, ALERT_WINDOW_S, FEATURE_WINDOW_S, SERVING_GAP_S,
@@ -21,13 +25,28 @@ from hostgauge.operators.rolling import BUCKET_WINDOWS, with_halo
 from hostgauge.schemas import PROCESS_KEY, USER_KEY
 
 ROLLING_COLUMNS = ["syscall_rate_5s", "unique_syscalls_5s", "failed_call_ratio_5s", "inter_arrival_ms"]
+_ALONE = -(1 << 62)  # buckets below hold one row that has no time
+DELAY = "30 minutes"  # how far behind the newest event a row may come
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+# The clock of these operators starts 35 years early: the first watermark is the clock's zero, and a row
+# at or before it counts as late.
+_EARLY_US = 1 << 50
+
+
+def _clock_ms(ts_us: int) -> int:
+    return (ts_us + _EARLY_US) // 1000
 
 
-def _merged(old_ts, pdfs) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """New rows in order, times of held and new rows, and the order of both."""
-    new = pd.concat(list(pdfs)).sort_values(["ts_us", "seq"], kind="stable", ignore_index=True)
-    ts = np.concatenate([np.asarray(old_ts, dtype=np.int64), new["ts_us"].to_numpy(dtype=np.int64)])
-    return new, ts, np.argsort(ts, kind="stable")
+def _watermark_us(timer_values) -> int:
+    return timer_values.getCurrentWatermarkInMs() * 1000 - _EARLY_US
+
+
+def _in_buckets(df: DataFrame, reach_us: int, bucket_us: int, delay: str) -> DataFrame:
+    """Rows per time bucket (``time_bucket``, ``own_row``) with a watermark; the step's columns must not begin with "_"."""
+    timed = df.withColumn("event_time", F.timestamp_micros(F.col("ts_us") + _EARLY_US)).withWatermark("event_time", delay)
+    return with_halo(timed, reach_us, bucket_us).withColumnsRenamed({"_bucket": "time_bucket", "_own": "own_row"})
 
 
 def _since(values: np.ndarray, upto: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -55,53 +74,214 @@ def rolling_values(ts: np.ndarray, event: np.ndarray, failed: np.ndarray, window
     }
 
 
+class _Bucket(StatefulProcessor):
+    """Rows of a (key, bucket): ``ts``, ``seq`` and some more numbers each. The key ends with the bucket."""
+
+    columns: list[str]
+
+    def __init__(self, bucket_us: int, reach_us: int):
+        self.bucket_us, self.reach_us = bucket_us, reach_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", ", ".join(f"{c} bigint" for c in self.columns))
+
+    def _closes_at(self, key: tuple) -> int:
+        """When no row of the bucket can come any more, in milliseconds."""
+        return _clock_ms((int(key[-1]) + 1) * self.bucket_us) + 1
+
+    def _held(self) -> np.ndarray:
+        rows = list(self.rows.get()) if self.rows.exists() else []
+        return np.array(rows, dtype=np.int64).reshape(-1, len(self.columns))
+
+    def _keep(self, key: tuple, held: np.ndarray, new: np.ndarray, oldest: int) -> None:
+        """Adds ``new`` rows; rewrites the list without rows before ``oldest`` once these are the larger part."""
+        if int(key[-1]) < _ALONE:
+            return
+        if not len(held):
+            self.handle.registerTimer(self._closes_at(key))
+        every = np.concatenate([held, new])
+        left = every[every[:, 0] >= oldest]
+        if 2 * len(left) < len(every):
+            self.rows.put([tuple(r) for r in left.tolist()]) if len(left) else self.rows.clear()
+        else:
+            self.rows.appendList([tuple(r) for r in new.tolist()])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.rows.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Rolling(_Bucket):
+    columns = ["ts", "seq", "event", "failed"]
+
+    def __init__(self, window: int, gap: int, bucket_us: int, kept: list[str]):
+        super().__init__(bucket_us, max(window, gap))
+        self.window, self.gap, self.kept = window, gap, kept
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "seq"], kind="stable", ignore_index=True)
+        added = np.column_stack([
+            new["ts_us"].fillna(0).to_numpy(np.int64), new["seq"].fillna(0).to_numpy(np.int64),
+            new["eventId"].fillna(-1).to_numpy(np.int64), (new["returnValue"] < 0).to_numpy(np.int64),
+        ])
+        held = self._held()
+        every = np.concatenate([held, added])
+        order = np.lexsort((every[:, 1], every[:, 0]))
+        values = rolling_values(*every[order][:, [0, 2, 3]].T, self.window, self.gap)
+        self._keep(key, held, added, _watermark_us(timerValues) - self.reach_us)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        of_new = place[len(held):]
+        own = new["own_row"].to_numpy(bool)
+        if own.any():
+            yield new[self.kept].assign(**{c: v[of_new] for c, v in values.items()})[own]
+
+
 def stream_rolling_features(
     events: DataFrame, window_s: float = FEATURE_WINDOW_S, gap_s: float = SERVING_GAP_S, keys: list[str] = PROCESS_KEY,
-    bucket_windows: int = BUCKET_WINDOWS,
+    bucket_windows: int = BUCKET_WINDOWS, delay: str = DELAY,
 ) -> DataFrame:
-    """Streaming form of the serving features; all columns of ``events`` stay."""
+    """Streaming form of the serving features, next to the key and every column of ``events`` that is no text.
+
+    Text stays outside: it would go through Python for nothing. ``delay`` is how far
+    behind the newest event seen a row may come.
+    """
     window, gap = int(window_s * 1_000_000), int(gap_s * 1_000_000)
     reach = max(window, gap)
     bucket_us = reach * bucket_windows
-    columns = events.columns
-    schema = T.StructType([*events.schema, *[T.StructField(c, T.DoubleType()) for c in ROLLING_COLUMNS]])
-    idle_ms = (bucket_us + reach) // 1000
+    kept = [f for f in events.schema if f.name in keys or not isinstance(f.dataType, T.StringType)]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, *[T.StructField(c, T.DoubleType()) for c in ROLLING_COLUMNS]])
+    rows = _in_buckets(events.select(*names), reach, bucket_us, delay)
+    return rows.groupBy(*keys, "time_bucket").transformWithStateInPandas(
+        _Rolling(window, gap, bucket_us, names), schema, "Append", "EventTime"
+    )
+
+
+CROSSING_SCHEMA = "hostname string, user_id bigint, ts_us bigint, seq bigint, severity2_count bigint, total_count bigint"
+_FOUND_SCHEMA = CROSSING_SCHEMA + ", bucket bigint, at timestamp"
+REVISION_SCHEMA = CROSSING_SCHEMA + ", revision int"
+_NONE = -1  # sequence number of "no crossing"
+
+
+class _Crossing(_Bucket):
+    """Tells the first row of the bucket whose window passes both gates, whenever that changes.
 
-    def update(_, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
+    Any row may come late, so all rows of the bucket are held until it closes. Rows
+    after a crossing that is known need no look at the others.
+    """
+
+    columns = ["ts", "seq", "hit"]
+
+    def __init__(self, window: int, count: int, min_rate: float, min_severity: int, bucket_us: int):
+        super().__init__(bucket_us, bucket_us + window)
+        self.window, self.count, self.min_rate, self.min_severity = window, count, min_rate, min_severity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.found = handle.getValueState("found", "ts bigint, seq bigint, high bigint, total bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        hit = (new["severity"] >= self.min_severity).to_numpy(np.int64)
+        added = np.column_stack([new["ts_us"].fillna(0).to_numpy(np.int64), new["seq"].to_numpy(np.int64), hit])
+        known = self.found.get() if self.found.exists() else None
+        if known is not None and known[1] != _NONE and (known[0], known[1]) < min(map(tuple, added[:, :2].tolist())):
+            self.rows.appendList([tuple(r) for r in added.tolist()])
             return
-        held = state.get if state.exists else ([], [], [])
-        new, ts, order = _merged(held[0], pdfs)
-        event = np.concatenate([np.asarray(held[1], dtype=np.int64), new["eventId"].to_numpy(dtype=np.int64)])
-        bad = (new["returnValue"] < 0).to_numpy(dtype=np.int64)
-        failed = np.concatenate([np.asarray(held[2], dtype=np.int64), bad])
-        values = rolling_values(ts[order], event[order], failed[order], window, gap)
-
-        keep = ts >= ts.max() - reach
-        keep = order[keep[order]]
-        state.update((ts[keep].tolist(), event[keep].tolist(), failed[keep].tolist()))
-        state.setTimeoutDuration(idle_ms)
-
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        of_new = place[len(held[0]):]
-        out = new[columns].assign(**{c: v[of_new] for c, v in values.items()})
-        own = new["_own"].to_numpy(dtype=bool)
-        if own.any():
-            yield out[own]
+        held = self._held()
+        self._keep(key, held, added, -(1 << 62))
+        first = self._first(np.concatenate([held, added]), int(key[-1]))
+        before = (known[0], known[1], known[2], known[3]) if known is not None else (0, _NONE, 0, 0)
+        if first == before:
+            return
+        self.found.update(first)
+        none = first[1] == _NONE
+        yield pd.DataFrame({
+            "hostname": [key[0]], "user_id": [key[1]], "ts_us": [first[0]], "seq": [first[1]],
+            "severity2_count": [0 if none else first[2]], "total_count": [0 if none else first[3]], "bucket": [key[2]],
+            # not before any row of this batch, so that the next operator never takes it for late
+            "at": [pd.Timestamp((int(added[:, 0].max()) if none else max(first[0], int(added[:, 0].min()))) + _EARLY_US, unit="us")],
+        })
 
-    return (
-        with_halo(events, reach, bucket_us)
-        .groupBy(*keys, "_bucket")
-        .applyInPandasWithState(
-            update, schema, "ts array<bigint>, event array<bigint>, failed array<bigint>", "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
-        )
-    )
+    def _first(self, rows: np.ndarray, bucket: int) -> tuple[int, int, int, int]:
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        ts, here = rows[:, 0], np.arange(len(rows))
+        since = np.searchsorted(ts, ts - self.window, side="left")
+        high, total = _since(rows[:, 2], here, since), here - since + 1
+        own = (ts // self.bucket_us == bucket) | (bucket < _ALONE)
+        crossed = np.flatnonzero(own & (high >= self.count) & (high / total >= self.min_rate))
+        if not len(crossed):
+            return 0, _NONE, 0, 0
+        i = crossed[0]
+        return int(ts[i]), int(rows[i, 1]), int(high[i]), int(total[i])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.rows.clear()
+        self.found.clear()
+        return iter(())
 
-CROSSING_SCHEMA = "hostname string, user_id bigint, ts_us bigint, seq bigint, severity2_count bigint, total_count bigint"
+
+class _Latch(StatefulProcessor):
+    """One alert per user: the first crossing of its buckets, told again only if a late row changes it.
+
+    Crossings of open buckets are held; once the bucket of the first one has closed,
+    the alert is final, the rest goes, and the user costs one value from then on.
+    """
+
+    def __init__(self, bucket_us: int):
+        self.bucket_us = bucket_us
+
+    def _closes_at(self, bucket: int) -> int:
+        return _clock_ms((bucket + 1) * self.bucket_us) + 1 if bucket > _ALONE else 1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buckets = handle.getMapState("buckets", "bucket bigint", "ts bigint, seq bigint, high bigint, total bigint")
+        self.told = handle.getValueState("told", "ts bigint, seq bigint, high bigint, total bigint, revision int, final boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        told = self.told.get() if self.told.exists() else None
+        if told is not None and told[5]:
+            for _ in rows:
+                pass
+            return
+        columns = ["bucket", "ts_us", "seq", "severity2_count", "total_count"]
+        for bucket, ts, seq, high, total in pd.concat(list(rows))[columns].itertuples(index=False):
+            if seq == _NONE:
+                self.buckets.removeKey((int(bucket),))
+            else:
+                self.buckets.updateValue((int(bucket),), (int(ts), int(seq), int(high), int(total)))
+        held = [(*v, int(k[0])) for k, v in self.buckets.iterator()]
+        first = min(held, default=None)
+        now = first[:4] if first else (0, _NONE, 0, 0)
+        if now != (tuple(told[:4]) if told is not None else (0, _NONE, 0, 0)):
+            revision = (told[4] if told is not None else 0) + 1
+            self.told.update((*now, revision, False))
+            gone = first is None
+            yield pd.DataFrame({
+                "hostname": [key[0]], "user_id": [key[1]], "ts_us": pd.array([None if gone else now[0]], "Int64"),
+                "seq": pd.array([None if gone else now[1]], "Int64"), "severity2_count": [now[2]], "total_count": [now[3]],
+                "revision": [revision],
+            })
+        if first:
+            self.handle.registerTimer(self._closes_at(first[4]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The bucket of some first crossing has closed: if it still is the first, it stays so."""
+        first = min(((*v, int(k[0])) for k, v in self.buckets.iterator()), default=None)
+        if first is not None and self._closes_at(first[4]) <= timerValues.getCurrentWatermarkInMs():
+            told = self.told.get()
+            self.told.update((*told[:5], True))
+            self.buckets.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def stream_crossings(
@@ -112,50 +292,24 @@ def stream_crossings(
     min_severity: int = ALERT_MIN_SEVERITY,
     untracked: list[int] | None = None,
     bucket_windows: int = BUCKET_WINDOWS,
+    delay: str = DELAY,
 ) -> DataFrame:
-    """The first row of each (user, bucket) whose window passes both gates.
-
-    The latch per user is the alert table itself, see ``publish_alerts``.
-    """
+    """The first row of each (user, ``bucket``) whose window passes both gates, and again whenever a late row changes it."""
     window = int(window_s * 1_000_000)
-    idle_ms = window * (bucket_windows + 1) // 1000
+    bucket_us = window * bucket_windows
+    rows = tracked_users(scored, "user_id", untracked).select(*USER_KEY, "ts_us", "seq", "severity")
+    return _in_buckets(rows, window, bucket_us, delay).groupBy(*USER_KEY, "time_bucket").transformWithStateInPandas(
+        _Crossing(window, count, min_rate, min_severity, bucket_us), _FOUND_SCHEMA, "Append", "EventTime",
+        eventTimeColumnName="at",
+    )
 
-    def update(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get if state.exists else ([], [], False)
-        new, ts, order = _merged(held[0], pdfs)
-        hits = (new["severity"] >= min_severity).to_numpy(dtype=np.int64)
-        hit = np.concatenate([np.asarray(held[1], dtype=np.int64), hits])[order]
-        source = np.concatenate([np.full(len(held[0]), -1), np.arange(len(new))])[order]
-        t = ts[order]
-        here = np.arange(len(t))
-        first = np.searchsorted(t, t - window, side="left")
-        high, total = _since(hit, here, first), here - first + 1
-        own = np.zeros(len(t), dtype=bool)
-        own[source >= 0] = new["_own"].to_numpy(dtype=bool)[source[source >= 0]]
-        crossed = np.flatnonzero(own & (high >= count) & (high / total >= min_rate))
-
-        keep = t >= t.max() - window
-        found = held[2] or len(crossed) > 0
-        state.update((t[keep].tolist(), hit[keep].tolist(), bool(found)))
-        state.setTimeoutDuration(idle_ms)
-        if len(crossed) and not held[2]:
-            i = crossed[0]
-            yield pd.DataFrame({
-                "hostname": [key[0]], "user_id": [key[1]], "ts_us": [t[i]],
-                "seq": [new["seq"].iloc[source[i]]], "severity2_count": [high[i]], "total_count": [total[i]],
-            })
 
-    rows = tracked_users(scored, "user_id", untracked).select(*USER_KEY, "ts_us", "seq", "severity")
-    return (
-        with_halo(rows, window, window * bucket_windows)
-        .groupBy(*USER_KEY, "_bucket")
-        .applyInPandasWithState(
-            update, CROSSING_SCHEMA, "ts array<bigint>, hit array<bigint>, found boolean", "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
-        )
+def stream_alert_revisions(scored: DataFrame, window_s: float = ALERT_WINDOW_S, bucket_windows: int = BUCKET_WINDOWS, **gates) -> DataFrame:
+    """``REVISION_SCHEMA``: each user's first crossing (revision 1), and corrections of it by late rows (2, 3, ...;
+    without time if nothing is left of it). State per user is what is open, not what was told before."""
+    crossings = stream_crossings(scored, window_s, bucket_windows=bucket_windows, **gates)
+    return crossings.groupBy(*USER_KEY).transformWithStateInPandas(
+        _Latch(int(window_s * 1_000_000) * bucket_windows), REVISION_SCHEMA, "Append", "EventTime"
     )
 
 
