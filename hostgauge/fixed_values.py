@@ -62,33 +62,21 @@ NAME_LEXICONS = {
 
 # -- process names whose severity is capped ------------------------------------
 CAP_TO_ZERO = [
-    # systemd
     "systemd", "systemd-logind", "systemd-journal", "systemd-journald", "systemd-network", "systemd-resolve",
     "systemd-resolved", "systemd-udevd", "systemd-tmpfiles", "systemd-timedated", "systemd-localed",
     "systemd-userdbd",
-    # init and kernel threads
     "init", "kthreadd", "ksoftirqd", "migration", "rcu_sched", "kworker",
-    # message bus and desktop
     "dbus-daemon", "dbus-broker", "dbus-broker-lau", "wireplumber", "pipewire", "pipewire-pulse", "pulseaudio",
     "gnome-shell", "gnome-session", "gdm", "gdm3", "Xorg", "Xwayland", "evolution-calend", "evolution-source-",
-    # packages
     "snapd", "snap", "snap-confine", "apt", "dpkg", "unattended-upgr",
-    # login
     "agetty", "getty", "login",
-    # network
     "NetworkManager", "wpa_supplicant", "avahi-daemon", "dhclient",
-    # agents
     "ssh-agent", "gpg-agent", "polkitd",
-    # containers
     "containerd", "containerd-shim", "dockerd",
-    # the probe
     "tracee",
-    # shell start-up helpers
     "clear_console", "dircolors", "lesspipe", "lesspipe.sh",
-    # message of the day
     "10-uname", "20-updates", "50-motd-news", "00-header", "10-help-text", "50-landscape-sysinfo", "80-livepatch",
     "85-fwupd", "90-updates-available", "91-release-upgrade", "95-hwe-eol",
-    # logs and timers
     "udisksd", "thermald", "rsyslogd", "cron", "crond", "anacron", "logrotate",
 ]
 CAP_TO_ONE = ["sshd", "sudo", "su", "doas", "pkexec", "sudoedit", "run-parts", "env", "pam_unix"]

@@ -16,17 +16,21 @@ def whole_json(text: Column) -> Column:
     session = SparkSession.getActiveSession()
     if session is not None:
         session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    mark = F.hex(F.xxhash64(text))
-    wrapped = F.array(F.struct(
-        F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))).alias("v"), mark.alias("mark")
-    ))
+
+    def marked(t: Column) -> Column:
+        return F.struct(t.alias("text"), F.hex(F.xxhash64(t)).alias("mark"))
+
+    def parsed(t: Column) -> Column:
+        text = F.concat(F.lit("["), t["text"], F.lit(',"'), t["mark"], F.lit('"]'))
+        return F.struct(F.try_parse_json(text).alias("v"), t["mark"].alias("mark"))
 
     def first_element(w: Column) -> Column:
         whole = F.try_variant_get(w["v"], "$[1]", "string") == w["mark"]
         return F.when(whole & F.try_variant_get(w["v"], "$[2]", "variant").isNull(), F.try_variant_get(w["v"], "$[0]", "variant"))
 
-    # a lambda variable, so that the text is parsed once for all look-ups
-    return F.element_at(F.transform(wrapped, first_element), 1)
+    # lambda variables, so that the text is worked out, hashed and parsed once for all look-ups
+    steps = F.transform(F.transform(F.transform(F.array(text), marked), parsed), first_element)
+    return F.element_at(steps, 1)
 
 
 def once(c: Column) -> Column:

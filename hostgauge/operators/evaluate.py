@@ -135,7 +135,7 @@ def sweep(df: DataFrame, score: str = "normality_score", steps: int = SWEEP_STEP
 def pick_threshold(swept: DataFrame, metric: str = "f1") -> DataFrame:
     """The row of the first threshold that reaches the best value of ``metric``."""
     if metric not in ("f1", "precision", "recall"):
-        raise ValueError("metric must be one of: f1, precision, recall")
+        raise ValueError(f"no threshold can be picked by {metric!r}")
     return swept.orderBy(F.desc(metric), "step").limit(1)
 
 

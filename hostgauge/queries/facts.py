@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from hostgauge.queries.alerting import GATES, WINDOWS, scored_users
 from hostgauge.queries.features import all_features
 from hostgauge.queries.registry import T, query
 from hostgauge.session import materialize, shared_folder
-from hostgauge.sources.model_store import load_model
+from hostgauge.sources.model_store import Meta, check_features, load_model
 from hostgauge.sources.tables import telemetry
 from hostgauge.streaming import jobs as live, source
 
@@ -132,3 +133,62 @@ def stream_replayed_alerts(spark, sf_dir):
         for b in [r[0] for r in known.select("batch_id").distinct().collect() if r[0] >= 0]:
             live.write_batch(known.where(F.col("batch_id") == b).drop("batch_id"), alerts, b)
     return live.read_table(spark, alerts, live.ALERT_TABLE).drop("batch_id")
+
+
+@query("test_report_facts", f"""
+WITH {T} SELECT count(*) AS n, sum(evil) AS positives, count(*) AS any_cells, count(*) AS high_cells, true AS consistent FROM t
+""")
+def test_report_facts(spark, sf_dir):
+    """The report of a trained model on labelled events: its cells add up, and high alerts are among all alerts."""
+    r = models.model_test_report(spark, sf_dir)
+    cells = {p: sum((F.col(f"{p}_{c}") for c in ("tp", "fp", "fn", "tn")), F.lit(0)) for p in ("any", "high")}
+    right = (
+        (F.col("high_tp") <= F.col("any_tp")) & (F.col("high_fp") <= F.col("any_fp"))
+        & (F.col("any_tp") + F.col("any_fn") == F.col("evil_count")) & (F.col("high_tp") + F.col("high_fn") == F.col("evil_count"))
+        & F.col("roc_auc").between(0, 1) & F.col("avg_precision").between(0, 1)
+        & ((F.col("any_tp") == 0) | (F.abs(F.col("any_precision") - F.col("any_tp") / (F.col("any_tp") + F.col("any_fp"))) < 1e-12))
+    )
+    return r.select(
+        F.col("rows").alias("n"), F.col("evil_count").alias("positives"), cells["any"].alias("any_cells"),
+        cells["high"].alias("high_cells"), right.alias("consistent"),
+    )
+
+
+@query("legacy_report_facts", f"WITH {T} SELECT count(*) AS n, count(*) AS cells, sum(evil) AS positives, true AS consistent FROM t")
+def legacy_report_facts(spark, sf_dir):
+    """The single-threshold variant: cells add up, and the threshold is one of those that the sweep tries."""
+    r = models.legacy_variant_report(spark, sf_dir)
+    cells = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    right = F.col("threshold").isNotNull() & ~F.isnan("threshold") & F.col("roc_auc").between(0, 1) & (F.col("tp") + F.col("fp") > 0)
+    return r.select(F.col("n"), cells.alias("cells"), (F.col("tp") + F.col("fn")).alias("positives"), right.alias("consistent"))
+
+
+@query("feature_check", f"""
+WITH {T}, names AS (SELECT DISTINCT eventName AS model FROM t)
+SELECT model, model = 'close' AS fits, model <> 'close' AS warned FROM names
+""")
+def feature_check(spark, sf_dir):
+    """Models stored with this engine's features and with others: the latter load with a warning, and are no failure."""
+    names = [r[0] for r in telemetry(spark, sf_dir).select("eventName").distinct().collect()]  # a handful
+    rows = []
+    for name in names:
+        features = FEATURES if name == "close" else [*FEATURES[:-1], name]
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            fits = check_features(Meta(256, 0.0, 0.0, 0.0, 1, features=features))
+        rows.append((name, fits, len(said) == 1))
+    return spark.createDataFrame(rows, "model string, fits boolean, warned boolean")
+
+
+@query("unlabelled_events", f"WITH {T} SELECT hostName, count(*) AS scored, true AS refused FROM t GROUP BY 1")
+def unlabelled_events(spark, sf_dir):
+    """Without the label column scoring works, and evaluation is refused before it starts."""
+    folder, _ = models.trained_folder(spark, sf_dir)
+    model, events = load_model(spark, folder), telemetry(spark, sf_dir).drop("evil", "sus")
+    try:
+        jobs.test(events, model)
+        refused = False
+    except ValueError:
+        refused = True
+    scored = jobs.predict(events, model).where("normality_score is not null and severity is not null")
+    return scored.groupBy("hostName").agg(F.count(F.lit(1)).alias("scored")).withColumn("refused", F.lit(refused))

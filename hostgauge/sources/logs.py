@@ -20,9 +20,9 @@ from hostgauge.sources.dictionary import unnamed, with_event_id, with_event_name
 _TYPES = {f.name: f.dataType.simpleString() for f in EVENT_SCHEMA}
 
 
-def _stripped(text: Column | str) -> Column:
+def _stripped(text: str) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(F.col(text), F.lit(" \t\n\x0b\f\r"))
 
 
 def _digits(text: Column, kind: str = "bigint") -> Column:
@@ -201,12 +201,13 @@ def ingest_auditd(
     inside ``auid=``; ``uid_source="auid"`` takes that one, the default the
     record's own uid.
     """
-    line = F.col("_line")
-    rows = lines.withColumn("_line", _stripped("value")).where(line.contains("type=SYSCALL"))
+    line = F.col("value")
+    rows = lines.where(line.contains("type=SYSCALL")).withColumn("_lower", once(F.lower(line)))
     # Plain tests first: a line that lacks one of these would keep the pattern
     # trying every way to match.
     for word in ("syscall=", "success=", "exit=", "a0=", "ppid=", "uid=", 'comm="'):
-        rows = rows.where(F.lower(line).contains(word))
+        rows = rows.where(F.col("_lower").contains(word))
+    rows = rows.drop("_lower")
     # One search yields all groups; a line without a match stays whole.
     groups = F.regexp_replace(line, f"(?s)^.*?{AUDIT_SYSCALL_PATTERN}.*$", "\u001f".join(f"${i}" for i in range(1, 9)))
     rows = rows.withColumn("_part", once(F.split(groups, "\u001f"))).where(F.size("_part") == 8)
