@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from hostgauge.session import lookup_side, materialize
+
 WINDOW = 3
 
 
@@ -42,6 +44,7 @@ def without_repeated_windows(docs: DataFrame, text: str = "text", doc_id: str =
         .where(F.col("n") > 1)
         .drop("n")
     )
+    repeated = lookup_side(materialize(repeated))  # stored, so that the places of a frequent window can be split among tasks
     later = windows.join(repeated, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
     covered = later.groupBy("doc", "own").agg(F.collect_set("pos").alias("at"))
     covered = covered.select(
