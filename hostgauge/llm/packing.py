@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
-from hostgauge.llm.subwords import Subwords, vocabulary_path
+from hostgauge.llm.subwords import ADDED, Subwords, vocabulary_path
 
 CAPACITY = 1024  # a power of two
 END = 0  # id after each document
@@ -65,26 +65,27 @@ def cut(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 def pack(
-    docs: DataFrame, text: str = "text", keep: list[str] | None = None, capacity: int = CAPACITY, vocabulary: str | None = None
+    docs: DataFrame, text: str = "text", keep: list[str] | None = None, capacity: int = CAPACITY, vocabulary: str | None = None,
+    added: tuple = ADDED,
 ) -> DataFrame:
     """One row per piece: ``keep`` columns and where the piece lies in its document and in its sequence.
 
     Null and empty texts are the end id alone. Repeated rows are packed each. The
     sequences are whole (``capacity`` tokens) but for the last few of a partition,
     whose lengths are powers of two. No rows in, no rows out. Memory per task: one
-    Arrow batch and fewer than ``capacity`` waiting pieces per class.
+    Arrow batch and fewer than ``capacity`` waiting pieces per class. ``added`` are the
+    (string, id) pairs that the vocabulary holds besides its ranks.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     keep = keep or ["doc_id"]
     source = docs.select(*keep, text)
-    added = T.StructType.fromDDL(_SCHEMA)
-    schema = T.StructType([*docs.select(*keep).schema.fields, *added.fields])
+    schema = T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL(_SCHEMA).fields])
     path = vocabulary or vocabulary_path()
     n_keep, names = len(keep), schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(path)
+        subwords = Subwords(path, added)
         bins = Bins(TaskContext.get().partitionId() << _SEQUENCE_BITS, capacity)
         types = None
 

@@ -1,7 +1,7 @@
 """Subword ids of whole texts with a public byte-level vocabulary.
 
 The ids are those that the ``tokenizers`` library gives for the same vocabulary
-without special tokens (the tests compare them); the vocabulary is read in its
+(the tests compare them); the vocabulary is read in its
 form as ranks because that encoder is several times faster on one core.
 """
 
@@ -14,6 +14,8 @@ import tiktoken
 import tiktoken.registry
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+# fixed values: the tokens that the same vocabulary adds in its form for ``tokenizers``
+ADDED = (("<|endoftext|>", 50256),)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -22,27 +24,32 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _encoding(path: str) -> tiktoken.Encoding:
+def _encoding(path: str, special: tuple = ()) -> tiktoken.Encoding:
     # kept where the library keeps its own, which outlives a task: a worker reads the file once
     known = tiktoken.registry.ENCODINGS
-    if path not in known:
+    name = f"{path} {special}"
+    if name not in known:
         import public_tokenizers
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        known[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return known[path]
+        known[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
+    return known[name]
 
 
 class Subwords:
-    """Strings that look like special tokens are ordinary text. ``size``: number of ids."""
+    """``special``: (string, id) pairs of tokens that stand for themselves wherever a whole text holds them, as the
+    vocabulary's ``tokenizers`` form has them; in words they are ordinary. ``size``: number of ids."""
 
-    def __init__(self, path: str):
-        self._encoding = _encoding(path)
+    def __init__(self, path: str, special: tuple = ()):
+        self._encoding = _encoding(path, special)
+        self._special = {token for token, _ in special}
         self.size = self._encoding.n_vocab
 
     def ids(self, text: str | None) -> np.ndarray:
-        return self._encoding.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
+        if not text:
+            return np.empty(0, np.uint32)
+        return self._encoding.encode_to_numpy(text, allowed_special=self._special, disallowed_special=())
 
     def of_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word with a space before it."""
