@@ -181,8 +181,11 @@ def near_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return runs.mapInArrow(_link_runs, "a bigint, b bigint")
 
 
-def near_classes(docs: DataFrame, text: str = "text", keep: list[str] | None = None, doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: ``keep`` columns, ``fingerprint`` (16 hex digits) and ``component_id``.
+def near_classes(
+    docs: DataFrame, text: str = "text", keep: list[str] | None = None, doc_id: str = "doc_id", class_col: str | None = None
+) -> DataFrame:
+    """One row per input row: ``keep`` columns, ``fingerprint`` (16 hex digits), ``component_id``, and on request
+    ``class_col``, a number of the class that ids which repeat or lack do not blur.
 
     component_id is the smallest ``doc_id`` reachable over links of at most four
     differing bits (null only if every id of the class is null). Null and wordless
@@ -198,6 +201,8 @@ def near_classes(docs: DataFrame, text: str = "text", keep: list[str] | None = N
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")))  # a large class's rows can be split
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    more = [F.col("root").alias(class_col)] if class_col else []
+    named = rooted.join(smallest, "root").select("fp", "component_id", *more)
     out = found.join(named, "fp")
-    return out.select(*keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return out.select(*keep, shown, "component_id", *([class_col] if class_col else []))
