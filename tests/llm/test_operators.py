@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -12,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from hostgauge.llm.common import window_hashes
 from hostgauge.llm import exact_dedup, html_extract, line_dedup, lm, mixing, packing, quality, simhash, sketches, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, size string, score string, row string"
@@ -415,7 +417,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(docs.withColumn("own", F.monotonically_increasing_id()), keep=["doc_id", "own"]).collect()
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -438,3 +439,58 @@ def test_packing(docs, empty):
         assert at <= 1024 and at & (at - 1) == 0  # no padding at all
     assert packing.pack(empty).count() == 0
     json.dumps(packing.cut(1023))
+
+
+def test_a_frequent_window_can_be_split(spark, monkeypatch):
+    """The places of a window that all documents share meet its first place in a join that is dealt anew."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    monkeypatch.setattr(line_dedup, "lookup_side", lambda df: df)
+    rows = [(i, f"own {i}\nA\nB\nC\nend {i}") for i in range(20_000)] + [(-i, f"x{i}\ny{i}\nz{i}") for i in range(1, 400) for _ in (1, 2)]
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = line_dedup.without_repeated_windows(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8, "doc_id"))
+        out = found.where("doc_id >= 0").agg(F.sum("n_removed"), F.count_if(F.expr("doc_id = 0 and n_removed = 0"))).first()
+        assert tuple(out) == (3 * 19_999, 1)
+        found.write.format("noop").mode("overwrite").save()
+        whole = found.agg(F.sum("n_removed"))
+        whole.collect()
+        assert "skew=true" in whole._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_packing_keeps_special_tokens_apart(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> <|endoftext|>\n", "<|endoftext", "é<|endoftext|>\u4f60  x", "<|ENDOFTEXT|>"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).where("start = 0").collect()
+    for r in rows:
+        ids = [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[: r.length], "<u4").tobytes())
+    assert len(rows) == len(texts)
+
+
+def test_sketches_by_definition():
+    """Every hash of a run of characters below the limit is kept, and likeness is near the exact one of the sets."""
+    rng = random.Random(11)
+    texts = [prose(rng, n) for n in (900, 2500, 6000)]
+    texts += [t[: len(t) // 2] + prose(rng, 800) for t in texts]
+    for t in texts:
+        points = [ord(c) for c in t]
+        grams = {tuple(points[i : i + sketches.SHINGLE]) for i in range(len(points) - sketches.SHINGLE + 1)}
+        every = {int(window_hashes(np.array(g, np.uint64), sketches.SHINGLE)[0] >> np.uint64(32)) for g in grams}
+        assert sorted(sketches.sketch(t).tolist()) == sorted(h for h in every if h < 2**32 // sketches.FRACTION)
+    for a, b in itertools.combinations(texts, 2):
+        shingles = [{t[i : i + sketches.SHINGLE] for i in range(len(t) - sketches.SHINGLE + 1)} for t in (a, b)]
+        exact = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
+        kept = len(shingles[0] | shingles[1]) / 16
+        assert abs(sketches.resemblance(sketches.sketch(a), sketches.sketch(b)) - exact) < 4 * math.sqrt(0.25 / kept) + 0.01

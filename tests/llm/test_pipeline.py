@@ -73,3 +73,18 @@ def test_edge_rows(spark):
         out.collect()
     kept = {(r.doc_id, r.text) for r in pipeline.distinct_texts(spark, docs, SF).collect()}
     assert kept == {(2, None), (3, "A b C"), (4, "d " * 5000)}
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """One row of each group stays, whatever repeats: rows, ids, or the lack of an id."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    words = " ".join(f"w{i}" for i in range(200))
+    texts = {1: words, 2: "a b c d e f"}
+    rows = [(1, texts[1]), (1, texts[1]), (1, texts[1].upper()), (None, texts[2]), (None, texts[2].upper()), (None, texts[2]), (7, "alone x"), (7, "other y z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    for stage in (pipeline.distinct_texts, pipeline.distinct_classes):
+        for _ in range(2):
+            kept = stage(spark, docs.repartition(3), SF).collect()
+            assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [
+                ("1", texts[1]), ("7", "alone x"), ("7", "other y z"), ("None", texts[2])]
+            assert (1, texts[1]) in {(r.doc_id, r.text) for r in kept} or (1, texts[1].upper()) in {(r.doc_id, r.text) for r in kept}
