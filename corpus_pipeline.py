@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from hostgauge.llm import exact_dedup, mixing, packing, quality, simhash
 from hostgauge.llm.common import table
 from hostgauge.session import lookup_side, materialize, shared_folder
+from hostgauge.sources.storage import Storage
 
 # Rows are told apart by id and text: rows that agree in both are one document, repeated.
 _OWN = "__own"
@@ -22,10 +23,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _own().alias(_OWN), "text")
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows of ``dropped`` (doc_id, own); these go to every task if few enough."""
-    gone = lookup_side(materialize(dropped.select(F.col("doc_id").alias("__gone"), F.col(_OWN).alias("__of")).distinct()))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (_own() == F.col("__of")), "left_anti")
+def _one_of_each(docs: DataFrame, found: DataFrame, group: str) -> DataFrame:
+    """One row of ``docs`` per ``group``.
+
+    ``found`` says of each row (doc_id, own) its group and whether its id wins there.
+    Where several rows have the winning id (or no row has an id), the text with the
+    smallest hash stays, and of rows repeated with id and text any one. Only rows that
+    do not stay, and ids that repeat, take part in joins.
+    """
+    found = materialize(found.select(F.col("doc_id").alias("__id"), F.col(_OWN).alias("__of"), F.col(group).alias("__group"), "wins"))
+    wins = found.where("wins")
+    several = wins.groupBy("__group").agg(F.count(F.lit(1)).alias("n"), F.min("__of").alias("__least")).where("n > 1")
+    several = lookup_side(materialize(several.drop("n")))
+    rivals = wins.join(several, "__group")
+    gone = found.where("not wins").unionByName(rivals.where("__of <> __least").drop("__least"))
+    repeated = rivals.where("__of = __least").groupBy("__id", "__of").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone, repeated = (lookup_side(materialize(d.select("__id", "__of").distinct())) for d in (gone, repeated))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_own() == F.col("__of"))
+    left = docs.join(gone, same, "left_anti")
+    once = left.join(repeated, same).dropDuplicates(["__id", "__of"]).select(*docs.columns)
+    return left.join(repeated, same, "left_anti").unionByName(once)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +53,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id."""
+    """Of equal texts one row: that with the largest id."""
     found = exact_dedup.exact_groups(_keyed(docs), keep=["doc_id", _OWN])
-    return _without(docs, found.where(~F.col("kept")))
+    return _one_of_each(docs, found.withColumn("wins", F.col("kept")), "text_sha256")
 
 
 def distinct_classes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate texts the row with the smallest id."""
-    found = simhash.near_classes(_keyed(docs), keep=["doc_id", _OWN])
-    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of near-duplicate texts one row: that with the smallest id."""
+    found = simhash.near_classes(_keyed(docs), keep=["doc_id", _OWN], class_col="class")
+    return _one_of_each(docs, found.withColumn("wins", F.col("doc_id").eqNullSafe(F.col("component_id"))), "class")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,10 +100,14 @@ ORACLE_SQL = None  # learnt weights and tokenizers are beyond SQL; tests/llm com
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
-    folder = f"{shared_folder(spark).rstrip('/')}/hostgauge-pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each but the last is written to the shared folder and read again.
+    A stage's table goes once the next one is written; that of the last but one stays, as the result reads it."""
+    storage = Storage(spark, f"{shared_folder(spark).rstrip('/')}/hostgauge-pipeline-{uuid.uuid4().hex}")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{storage.root}/{name}")
+        docs = spark.read.parquet(f"{storage.root}/{name}")
+        if before:
+            storage.delete(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
