@@ -2,7 +2,7 @@
 
 What is learnt from the training fold grows with it: counts of all words, from
 them the frequencies of subword ids, and the attention model's weights. These are
-warmed up on the driver on runs of words of a bounded sample and then trained in one
+warmed up in one task on runs of words of a bounded sample and then trained in one
 round over every word of all training documents: every task goes on from the same
 weights with the whole texts of its own documents, laid out as they are scored, and
 the weights are averaged by the ids seen.
@@ -46,6 +46,38 @@ _STEP = 256  # windows of a step of the training round
 _KNOWN = 900_000  # words whose ids a task remembers
 
 
+class KnownWords:
+    """Words by falling count, in two arrays; ``Speller`` finds them in what it is given ready."""
+
+    def __init__(self, found: list[bytes]):
+        self._joined = b"".join(found)
+        self._ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+
+    def __len__(self) -> int:
+        return len(self._ends)
+
+    def __iter__(self) -> Iterator[bytes]:
+        at = 0
+        for end in self._ends.tolist():
+            yield self._joined[at:end]
+            at = end
+
+    def get(self, word: bytes, default: int) -> int:
+        """Only asked for words that are not among these."""
+        return default
+
+
+class Shared:
+    """The weights and what is known of words, sent to the workers apart, as the latter is large and never changes."""
+
+    def __init__(self, weights, known):
+        self._weights, self._known = weights, known
+
+    @property
+    def value(self) -> tuple:
+        return (self._weights.value, *self._known.value)
+
+
 class Speller:
     """Words to places of subword ids, each distinct word looked up once."""
 
@@ -214,9 +246,8 @@ def _counted(train: DataFrame, text: str) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
-    """The most frequent words, at most ``most``, cut at a count: all words above it; by falling
-    count, so that what is looked up most lies together in memory."""
+def _frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, at most ``most``, cut at a count: all words above it."""
     level = F.floor(F.log2("n") * 16)
     per_level = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
     total, lowest = 0, None
@@ -225,9 +256,29 @@ def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
             break
         total, lowest = total + n, at
     if lowest is None:
-        return {}
-    found = counts.where(level >= lowest).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    return dict(zip(map(bytes, found["word"]), found["n"].tolist()))
+        return counts.limit(0)
+    return counts.where(level >= lowest)
+
+
+def _spelled(frequent: DataFrame, path: str, vocabulary: Vocabulary) -> tuple[KnownWords, tuple]:
+    """The frequent words and what ``Speller`` takes as ready; spelled by tasks, laid together here as arrays."""
+    shared = frequent.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            places, begin, length, share, count = Speller(path, shared.value, known).ready()
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(places)), pa.int32()), pa.array(places, pa.int32()))
+            columns = [pa.array(list(known), pa.binary()), pa.array(count), lists, pa.array(share)]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "places", "share"])
+
+    schema = "word binary, n bigint, places array<int>, share double"
+    found = frequent.select("word", "n").mapInArrow(spell, schema).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    places = found.column("places").combine_chunks()
+    length = np.asarray(places.value_lengths(), np.int64)
+    numbers = [found.column(c).to_numpy() for c in ("share", "n")]
+    ready = (places.flatten().to_numpy().astype(np.int32), np.cumsum(length) - length, length, *numbers)
+    return KnownWords(found.column("word").to_pylist()), ready
 
 
 def _id_counts(counts: DataFrame, path: str, size: int) -> np.ndarray:
@@ -244,10 +295,9 @@ def _id_counts(counts: DataFrame, path: str, size: int) -> np.ndarray:
         at = [i for i, n in enumerate(total) if n]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i] for i in at], pa.int64())], names=["id", "n"])
 
-    found = counts.select("word", "n").mapInArrow(spell, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    found = counts.select("word", "n").mapInArrow(spell, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, np.int64)
-    for r in found:  # at most one row per id of the vocabulary
-        out[r["id"]] = r["n"]
+    out[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)  # at most one row per id of the vocabulary
     return out
 
 
@@ -264,9 +314,46 @@ def _in_parts(texts: Iterable) -> Iterator[list[list[bytes]]]:
         yield found
 
 
-def _trained(train: DataFrame, text: str, start: Attention, path: str, vocabulary: Vocabulary, table: dict, ready: tuple) -> Attention:
-    """One round over all words of all training texts: tasks train on from ``start``, weights are averaged by ids seen."""
-    shared = train.sparkSession.sparkContext.broadcast((start.flat, vocabulary, table, ready))
+def _warmed_up(texts: DataFrame, sample: int, path: str, known) -> Attention:
+    """Weights after ``WARM_EPOCHS`` rounds over runs of words of the sample's texts, in one task."""
+    schema = "document bigint, words array<binary>, before binary"
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                found = words(t.as_py()) + [END]
+                some = runs(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([zlib.crc32(b" ".join(found))] * len(some), pa.int64()),
+                     pa.array([w for _, w in some], pa.list_(pa.binary())), pa.array([b for b, _ in some], pa.binary())],
+                    names=["document", "words", "before"],
+                )
+
+    def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = sorted(  # the same runs in the same order whatever the tasks' order
+            ((r["document"], r["words"], r["before"]) for batch in batches for r in batch.to_pylist()),
+            key=lambda r: (r[0], r[1], r[2] or b""),
+        )
+        speller, model = Speller(path, *known.value), Attention()
+        trainer, rng = Trainer(model, RATE), np.random.default_rng(3)
+        for epoch in range(WARM_EPOCHS):
+            trainer.rate = RATE / (1 + epoch)
+            for b in _batches(speller, [taken[i][:0:-1] for i in rng.permutation(len(taken))]):
+                trainer.learn(*b)
+        yield pa.RecordBatch.from_arrays([pa.array([model.flat.tolist()], pa.list_(pa.float32()))], names=["weights"])
+
+    some = texts.mapInArrow(pick, schema).orderBy(F.xxhash64("document", "words", "before"), "document").limit(16 * sample)
+    found = some.repartition(1).mapInArrow(warm, "weights array<float>").first()
+    return Attention(np.array(found["weights"], np.float32)) if found else Attention()
+
+
+def _trained(
+    train: DataFrame, text: str, start: Attention, path: str, vocabulary: Vocabulary, table: dict, ready: tuple, known=None
+) -> Attention:
+    """One round over all words of all training texts: tasks train on from ``start``, weights are averaged by ids seen.
+    ``known`` is the broadcast of (vocabulary, table, ready), if there is one already."""
+    broadcast = train.sparkSession.sparkContext.broadcast
+    shared = Shared(broadcast(start.flat), known or broadcast((vocabulary, table, ready)))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, voc, top, spelled = shared.value
@@ -360,35 +447,14 @@ def score_texts(
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_types = totals["n"], totals["v"]
     vocabulary = Vocabulary.of(_id_counts(counts, path, size), begins)
-    table = _frequent(counts, known)
+
+    known_words = spark.sparkContext.broadcast((vocabulary, *_spelled(_frequent(counts, known), path, vocabulary)))
 
     ids = train.select(F.col(doc_id).alias("chosen")).where(F.col("chosen").isNotNull()).orderBy(F.xxhash64("chosen"), "chosen").limit(sample)
     picked = train.join(F.broadcast(ids.distinct()), F.col(doc_id) == F.col("chosen")).groupBy("chosen").agg(F.max(text).alias(text)).select(text)
-    schema = "document bigint, words array<binary>, before binary"
-
-    def pick(batches):
-        for batch in batches:
-            for t in batch.column(0):
-                found = words(t.as_py()) + [END]
-                some = runs(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([zlib.crc32(b" ".join(found))] * len(some), pa.int64()),
-                     pa.array([w for _, w in some], pa.list_(pa.binary())), pa.array([b for b, _ in some], pa.binary())],
-                    names=["document", "words", "before"],
-                )
-
-    # the same runs whatever the tasks' order
-    found = picked.mapInArrow(pick, schema).orderBy(F.xxhash64("document", "words", "before"), "document").limit(16 * sample).collect()
-    found.sort(key=lambda r: (r["document"], r["words"], r["before"] or b""))
-    taken = [(r["before"] and bytes(r["before"]), [bytes(w) for w in r["words"]]) for r in found]
-    speller, model = Speller(path, vocabulary, table), Attention()
-    trainer, rng = Trainer(model, RATE), np.random.default_rng(3)
-    for epoch in range(WARM_EPOCHS):
-        trainer.rate = RATE / (1 + epoch)
-        for b in _batches(speller, [taken[i] for i in rng.permutation(len(taken))]):
-            trainer.learn(*b)
-    model = _trained(train, text, model, path, vocabulary, table, speller.ready())
-    shared = spark.sparkContext.broadcast((model.flat, vocabulary, table, speller.ready()))
+    start = _warmed_up(picked, sample, path, known_words)
+    model = _trained(train, text, start, path, None, None, None, known_words)
+    shared = Shared(spark.sparkContext.broadcast(model.flat), known_words)
     mixed = _share_of_attention(train, text, counts, n_train, path, shared)
     floor = n_train + 0.1 * (n_types + 1)
     source = docs.select(*keep, F.col(doc_id).alias("__id"), text)
