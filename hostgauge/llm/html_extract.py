@@ -32,8 +32,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1",
           "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
-# What the classifier looks at, with its costs.
-STRONG, MEDIUM, WEAK = 12.0, 4.0, 1.0
+# What the classifier looks at, with its costs. Names that authors choose weigh less than what an element is; neither can
+# carry a block against a container of content and the block's own text, nor against neighbours that all say otherwise.
+HIDDEN, TAG, NAME, PART, WEAK = 12.0, 8.0, 7.0, 6.0, 1.0
+LINKS = 3.2  # of a block that is all link
+PHRASE = 3.0
 BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "fieldset"}
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form",
                 "menu", "menubar", "toolbar"}
@@ -46,10 +49,19 @@ BOILER_NAMES = {
     "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "toc", "toolbar", "topbar", "trending",
     "widget", "widgets",
 }
+# words that turn the name of a part of the page into a property of what has the name: "has-sidebar", "comments-open"
+PROPERTIES = {"has", "with", "without", "no", "is", "are", "open", "closed", "enabled", "disabled", "on", "off", "left", "right",
+              "active", "visible", "supports", "layout", "template", "page", "format", "type", "category", "tag", "hentry", "status"}
+# how notices and footers speak, in any element
+_PHRASES = re.compile(
+    r"\u00a9|\(c\) ?\d{4}|copyright|all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)|subscribe|newsletter"
+    r"|sign (?:in|up)|log ?in\b|share (?:this|on)|follow us|read more|advertisement|sponsored|related (?:posts|articles)", re.I,
+)
 CONTENT_TAGS = {"article", "main"}
 CONTENT_NAMES = {"article", "body", "content", "entry", "main", "post", "story", "text"}
 TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "figcaption", "td"}
-NEXT_TO, SAME_PARENT = 0.5, 1.0  # smoothness
+NEXT_TO, SAME_PARENT = 1.2, 0.7  # smoothness; the former is divided by the distance of the blocks in the tree
+CONTAINER = 4.0  # of a container of content
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -58,45 +70,62 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_SENTENCE = re.compile(r"[.!?\u2026]['\"\u00bb\u201d)]?$")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
 class Block:
     text: str
-    parent: int  # number of the innermost block element
+    path: tuple  # numbers of the open block elements
     boiler: float  # cost of calling it content, from the elements around it
     content: float  # cost of calling it boilerplate, likewise
     linked: int  # characters inside links
     tag: str
 
 
-def _marks(tag: str, attributes: str, inside_content: bool) -> tuple[float, float, bool]:
-    """(boilerplate evidence, content evidence, is a content container) of one element."""
-    boiler = STRONG if tag in BOILER_TAGS or tag == "header" and not inside_content else 0.0
-    content = MEDIUM if tag in CONTENT_TAGS else 0.0
+def _named(value: str) -> float:
+    """How much the names of an element (its class or id) speak for boilerplate: a whole name more than a part of one, and
+    parts next to a word that makes them a property not at all."""
+    most = 0.0
+    for name in value.split():
+        parts = [p.lower() for p in _NAME_PARTS.findall(name)]
+        if name.lower() in BOILER_NAMES:
+            most = max(most, NAME)
+        elif not PROPERTIES & set(parts) and not CONTENT_NAMES & set(parts) and BOILER_NAMES & set(parts):
+            most = max(most, PART)
+        elif CONTENT_NAMES & set(parts) and parts and parts[-1] in BOILER_NAMES and not PROPERTIES & set(parts):
+            most = max(most, PART)  # "post-comments", "article-footer"
+    return most
+
+
+def _marks(tag: str, attributes: str, inside_content: bool) -> tuple[float, float, float]:
+    """(boilerplate evidence, content evidence, of the former what cannot be outweighed: hidden) of one element."""
+    boiler = TAG if tag in BOILER_TAGS or tag == "header" and not inside_content else 0.0
+    content, hidden = CONTAINER if tag in CONTENT_TAGS else 0.0, 0.0
     if attributes and "=" in attributes or "hidden" in attributes:
         for m in _NAMED.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                boiler = max(boiler, STRONG)
+                hidden = HIDDEN
             elif name == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    boiler = max(boiler, STRONG)
+                    hidden = HIDDEN
             elif name == "role":
                 if value.lower() in BOILER_ROLES:
-                    boiler = max(boiler, STRONG)
+                    boiler = max(boiler, TAG)
                 elif value.lower() in ("main", "article"):
-                    content = max(content, MEDIUM)
-            elif name in ("class", "id"):
-                parts = {p.lower() for p in _NAME_PARTS.findall(value)}
+                    content = max(content, CONTAINER)
+            elif name in ("class", "id") and tag not in ("body", "html"):
+                found = _named(value)
                 # a bare "header" inside the article is the article's own
-                if parts & BOILER_NAMES and not (inside_content and tag in TEXT_TAGS | {"header"} and parts & BOILER_NAMES <= {"header"}):
-                    if tag not in ("body", "html"):
-                        boiler = max(boiler, STRONG)
-                elif parts & CONTENT_NAMES and tag not in ("body", "html"):
-                    content = max(content, MEDIUM)
-    return boiler, content, content > 0
+                if found and inside_content and tag in TEXT_TAGS | {"header"}:
+                    if {p.lower() for p in _NAME_PARTS.findall(value)} & BOILER_NAMES <= {"header"}:
+                        found = 0.0
+                boiler = max(boiler, found)
+                if not found and {p.lower() for p in _NAME_PARTS.findall(value)} & CONTENT_NAMES:
+                    content = max(content, CONTAINER)
+    return max(boiler, hidden), content, hidden
 
 
 def blocks(page: str) -> list[Block]:
@@ -112,7 +141,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             inner = next(e for e in reversed(stack) if e[5])
             top = stack[-1]
-            out.append(Block(text, inner[1], top[2], top[3], linked, inner[0]))
+            out.append(Block(text, tuple(e[1] for e in stack if e[5]), top[2], top[3], linked, inner[0]))
         parts, linked = [], 0
 
     def pop_to(at: int) -> None:
@@ -139,7 +168,8 @@ def blocks(page: str) -> list[Block]:
         closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             if page.startswith("<![CDATA[", m.start()):
-                say(page[m.start() + 9 : at - 3].replace("&", "&amp;"))
+                end = at - 3 if page.endswith("]]>", m.start() + 9, at) else at
+                say(page[m.start() + 9 : end].replace("&", "&amp;"))
             continue
         tag = tag.lower()
         if closing:
@@ -172,9 +202,17 @@ def blocks(page: str) -> list[Block]:
                 elif stack[i][5] and stack[i][0] not in ("td", "th", "tr", "p") or stack[i][0] in ("table", "ul", "ol", "dl"):
                     break
         top = stack[-1]
-        boiler, content, is_content = _marks(tag, attributes, top[4]) if attributes or block else (0.0, 0.0, False)
+        boiler, content, hidden = _marks(tag, attributes, top[4]) if attributes or block else (0.0, 0.0, 0.0)
         numbers += 1
-        stack.append((tag, numbers, max(top[2], boiler), max(top[3], content), top[4] or is_content, block))
+        # the innermost evidence counts: a part of the page inside a container of content is no content of it, while an
+        # element that says it is the content keeps that against names around it, but not against what is around it
+        if boiler and not (content and boiler < TAG):
+            held = (max(top[2], boiler), 0.0)
+        elif content and not boiler:
+            held = (top[2] if top[2] >= TAG else top[2] / 2, max(top[3], content))
+        else:
+            held = (max(top[2], boiler), max(top[3], content))
+        stack.append((tag, numbers, *held, top[4] or content > 0, block))
         if tag == "a":
             links += 1
     close_block()
@@ -185,8 +223,10 @@ def costs(b: Block) -> tuple[float, float]:
     """(cost of calling the block boilerplate, cost of calling it content)."""
     n = len(b.text)
     content = b.content + min(2.0, n / 100) + (WEAK if b.tag in TEXT_TAGS else 0.0)
-    content += 0.5 * bool(re.search(r"[.!?…]['\"»”)]?$", b.text))
-    boiler = b.boiler + (MEDIUM * b.linked / n if n else 0.0) + (WEAK if b.tag == "li" else 0.0) + 0.2
+    content += 0.5 * bool(_SENTENCE.search(b.text))
+    boiler = b.boiler + (LINKS * b.linked / n if n else 0.0) + (WEAK if b.tag == "li" else 0.0) + 0.2
+    if n < 300 and _PHRASES.search(b.text) and not b.content:
+        boiler += PHRASE
     return content, boiler
 
 
@@ -194,39 +234,72 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
     """Which nodes stay with the source in a minimum cut (the smallest such side).
 
     ``source[i]`` and ``sink[i]`` are the capacities of node i's terminal edges;
-    ``edges`` hold (i, j, capacity both ways). Shortest augmenting paths.
+    ``edges`` hold (i, j, capacity both ways). Blocking flows: each round numbers the
+    nodes by their distance from what is left of the sources, and sends all that fits
+    along shortest ways before it starts anew; as costs meet their match a few blocks on, rounds are few.
     """
     n, small = len(source), 1e-9
     # what goes straight through a node is sent at once; what remains is one-sided
     excess = [s - t for s, t in zip(source, sink)]
-    room: list[dict[int, float]] = [{} for _ in range(n)]
+    head: list[list[int]] = [[] for _ in range(n)]  # numbers of the edges that leave a node; the one back has the last bit turned
+    to: list[int] = []
+    room: list[float] = []
     for i, j, c in edges:
-        room[i][j] = room[i].get(j, 0.0) + c
-        room[j][i] = room[j].get(i, 0.0) + c
+        head[i].append(len(to))
+        head[j].append(len(to) + 1)
+        to += [j, i]
+        room += [c, c]
     while True:
-        came = {i: i for i in range(n) if excess[i] > small}
-        queue, end = deque(came), -1
-        while queue and end < 0:
+        level = [0 if e > small else -1 for e in excess]
+        queue, met = deque(i for i in range(n) if not level[i]), False
+        while queue:
             i = queue.popleft()
-            for j, c in room[i].items():
-                if c > small and j not in came:
-                    came[j] = i
-                    if excess[j] < -small:
-                        end = j
-                        break
+            for e in head[i]:
+                j = to[e]
+                if room[e] > small and level[j] < 0:
+                    level[j] = level[i] + 1
+                    met |= excess[j] < -small
                     queue.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        path, i = [], end
-        while came[i] != i:
-            path.append((came[i], i))
-            i = came[i]
-        flow = min(excess[i], -excess[end], *(room[a][b] for a, b in path))
-        excess[i] -= flow
-        excess[end] += flow
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] += flow
+        if not met:
+            return [at >= 0 for at in level]
+        tried = [0] * n
+        for start in range(n):
+            while excess[start] > small:
+                path, i = [], start
+                while excess[i] >= -small or not path:  # down the levels to a node that takes something
+                    edge = -1
+                    while tried[i] < len(head[i]):
+                        e = head[i][tried[i]]
+                        if room[e] > small and level[to[e]] == level[i] + 1:
+                            edge = e
+                            break
+                        tried[i] += 1
+                    if edge >= 0:
+                        path.append(edge)
+                        i = to[edge]
+                    elif path:  # a dead end: back, and not this way again
+                        i = to[path.pop() ^ 1]
+                        tried[i] += 1
+                    else:
+                        break
+                if not path:
+                    break
+                flow = min(excess[start], -excess[i], *(room[e] for e in path))
+                excess[start] -= flow
+                excess[i] += flow
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+
+
+def _apart(a: tuple, b: tuple) -> int:
+    """Steps between two elements of the tree, from the paths to them."""
+    same = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        same += 1
+    return len(a) + len(b) - 2 * same
 
 
 def main_text(page: str | None) -> str:
@@ -238,10 +311,11 @@ def main_text(page: str | None) -> str:
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, NEXT_TO))
-        if b.parent in last:
-            edges.append((last[b.parent], i, SAME_PARENT))
-        last[b.parent] = i
+            edges.append((i - 1, i, NEXT_TO / max(1, _apart(found[i - 1].path, b.path))))
+        for element in b.path[-2:]:  # text of one element, and elements of one parent
+            if element in last:
+                edges.append((last[element], i, SAME_PARENT))
+            last[element] = i
     kept = minimum_cut([c for c, _ in cost], [b for _, b in cost], edges)
     return " ".join(b.text for b, k in zip(found, kept) if k)
 
