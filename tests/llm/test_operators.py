@@ -494,3 +494,49 @@ def test_sketches_by_definition():
         exact = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
         kept = len(shingles[0] | shingles[1]) / 16
         assert abs(sketches.resemblance(sketches.sketch(a), sketches.sketch(b)) - exact) < 4 * math.sqrt(0.25 / kept) + 0.01
+
+
+_BODY = "<p>This is a long paragraph of an article, with several words and a full stop at the end of it.</p>"
+
+
+def _labels(page):
+    found = html_extract.blocks(page)
+    own = {b.text: c > d for b, (c, d) in ((b, html_extract.costs(b)) for b in found)}
+    kept = html_extract.main_text(page)
+    return own, {t: t in kept for t in own}
+
+
+def test_the_cut_decides_against_a_block_on_its_own():
+    """A line that is all link goes with the paragraphs around it, and a sentence among links goes with the links."""
+    own, kept = _labels(f"<body><div>{_BODY}<p><a href=x>See the full table</a></p>{_BODY}</div></body>")
+    assert not own["See the full table"] and kept["See the full table"]
+    links = "".join(f"<li><a href=x>Some other page number {i} of this site</a></li>" for i in range(4))
+    own, kept = _labels(f"<body><article>{_BODY}</article><ul>{links}<li>Yet more pages can be found here, all of them new and worth a look today.</li>{links}</ul></body>")
+    line = next(t for t in own if t.startswith("Yet"))
+    assert own[line] and not kept[line] and sum(kept.values()) == 1
+
+
+def test_class_names_do_not_delete_an_article():
+    text = html_extract.main_text(_BODY)
+    for page in (
+        f'<div id="content" class="has-sidebar"><h1>Title</h1>{_BODY}</div><div class="sidebar"><p>Other things.</p></div>',
+        f'<article class="post comments-open"><h1>Title</h1>{_BODY}</article><footer>Words of the foot.</footer><div class="cookie-notice">We use cookies.</div>',
+        f'<div class="no-sidebar with-header"><article class="hentry"><h1>Title</h1>{_BODY}</article></div><div>Copyright 2024 Example. All rights reserved.</div>',
+        f'<main><h1>Title</h1>{_BODY}<div id="comments"><p>I think this is a great article, thank you for it.</p></div></main>',
+        f'<main><h1>Title</h1>{_BODY}<section class="post-comments"><p>I think this is a great article, thank you.</p></section></main>',
+    ):
+        assert html_extract.main_text(f"<body><nav><a href=x>Home</a></nav>{page}</body>") == "Title " + text, page
+    assert html_extract.main_text("<body><p>a<![CDATA[bcdef") == "abcdef"
+
+
+def test_a_large_page_of_mixed_blocks_takes_seconds():
+    import time
+
+    rng = random.Random(12)
+    kinds = ["<p>word word word word</p>", '<div class="sidebar"><p>some text here.</p></div>', "<li><a href=x>link text</a></li>",
+             "<p>" + "long text " * 20 + ".</p>", "<div>mid size text of a block</div>"]
+    page = "<body>" + "".join(rng.choice(kinds) for _ in range(60_000)) + "</body>"
+    assert len(page) > 4_000_000
+    start = time.process_time()
+    assert html_extract.main_text(page).count("long text") > 100_000
+    assert time.process_time() - start < 60
