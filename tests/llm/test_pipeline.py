@@ -21,7 +21,7 @@ def test_same_rows_as_sql(spark, name):
 
 def test_all_queries_are_offered():
     offered = entry.queries()
-    assert all(sum(q.startswith(f"op{n}_") for q in offered) == 1 for n in range(1, 11)) and "pipeline" in offered
+    assert all(sum(q.startswith(f"op{n}_") for q in offered) == 1 for n in range(1, 14)) and "pipeline" in offered
 
 
 @pytest.fixture(scope="module")
