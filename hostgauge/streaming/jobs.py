@@ -325,7 +325,9 @@ DRIFT_ROW = (
 
 
 def _with_trigger(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("trigger", trigger_text(F.col("severity2_count"), F.col("total_count")))
+    # a correction that leaves no crossing has no events to name
+    total = F.nullif(F.col("total_count"), F.lit(0))
+    return rows.withColumn("trigger", F.when(total.isNotNull(), trigger_text(F.col("severity2_count"), total)))
 
 
 def publish_alerts(crossings: DataFrame, alerts_path: str, batch_id: int) -> None:
