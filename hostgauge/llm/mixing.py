@@ -106,12 +106,12 @@ def mix(
 
     Null sources are one source, null and wordless texts have size 0. Equal rows
     are drawn like any others; which of them is taken does not show in the result.
-    The draw depends on ids and sizes only, so reruns agree. Without rows, or
+    The draw depends on ids and texts only, so reruns agree. Without rows, or
     without words, nothing is taken.
     """
     keep = keep or [doc_id]
     spark = docs.sparkSession
-    drawn = F.xxhash64(F.col(doc_id), F.lit(seed))
+    drawn = F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed))  # the text spreads rows without an id
     rows = materialize(
         docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.col(source).alias("source"),
                     word_count(F.col(text)).alias("size"), drawn.alias("draw"))

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from hostgauge.llm import packing, quality, simhash
+from hostgauge.llm import mixing, packing, quality, simhash
 from hostgauge.llm.queries import ORACLES, QUERIES
 from tests.oracle import compare, duck
 
@@ -88,3 +88,13 @@ def test_repeated_rows_and_null_ids(spark):
             assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [
                 ("1", texts[1]), ("7", "alone x"), ("7", "other y z"), ("None", texts[2])]
             assert (1, texts[1]) in {(r.doc_id, r.text) for r in kept} or (1, texts[1].upper()) in {(r.doc_id, r.text) for r in kept}
+
+
+def test_rows_without_an_id_are_drawn_apart(spark):
+    """Null ids of one length do not share one draw: they spread over bins, and the mix still meets its target."""
+    docs = spark.range(6000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('a b ', id) AS text", "if(id % 3 = 0, 'x', 'y') AS source")
+    first, again = (mixing.mix(docs.repartition(n), keep=["text"]).orderBy("text").collect() for n in (2, 5))
+    assert first == again and len(first) == 6000
+    for source in (0, 1):
+        rows = [r for r in first if (int(r.text.split()[2]) % 3 == 0) == (source == 0)]
+        assert abs(sum(r.taken for r in rows) - rows[0].target) < 3
