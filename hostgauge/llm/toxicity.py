@@ -35,7 +35,7 @@ LEXICON = 20_000  # learnt entries, at most (heaviest first)
 SEEN, HEAVY = 4, 3.0  # an entry was in this many toxic rows, and has this log-odds, at least
 STEMS = (4, 5, 6)  # lengths of word beginnings that are entries too
 REACH = 3  # words that a negation reaches
-VERB_TO_VICTIM, VICTIM_TO_VERB = 2, 3  # words from a threat's verb to its victim ("kill all of"), and the other way
+VERB_TO_VICTIM, VICTIM_TO_VERB = 2, 3  # steps from a threat's verb to its victim ("kill all you"), and the other way ("te voy a matar")
 SPEAKER = 3  # words from the end of a speech to its reporting word ("..., the man said")
 THREAT_WEIGHT = 2.0  # of a threat that nothing weakens
 PRIOR = np.array([2.0, -3.0])  # log-odds of a threat: per weight, and constant, before any row is seen
