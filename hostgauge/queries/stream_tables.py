@@ -130,12 +130,21 @@ m AS (SELECT *, seq // 100 AS msg, row_number() OVER (PARTITION BY hostName, seq
              max(ts_us) OVER (PARTITION BY hostName, seq // 100) AS ingest_us FROM t)"""
 
 
-def _messages(spark, sf_dir, folder: str, parts: int, part) -> DataFrame:
-    """A stream of the messages of all hosts, a file for each of ``parts``."""
-    messages = materialize(encode_batches(telemetry(spark, sf_dir), F.floor(F.col("seq") / 100)))
+def _in_batches(rows: DataFrame, part, parts: int, folder: str, start) -> None:
+    """``rows`` as ``parts`` micro-batches, each of as many files as there are tasks. The stream is drained after
+    each of them, and goes on from its checkpoint."""
     for i in range(parts):
-        messages.where(part(messages) == i).coalesce(1).write.mode("append").parquet(folder)
-    return source.file_messages(spark, folder, "parquet", 1)
+        rows.where(part == i).write.mode("append").parquet(folder)
+        start().awaitTermination()
+
+
+def _ingest(spark, sf_dir, folder: str, name: str, parts: int, part, **options) -> None:
+    """The messages of all hosts to the event table ``folder``/e``name``, in ``parts`` batches."""
+    messages = materialize(encode_batches(telemetry(spark, sf_dir), F.floor(F.col("seq") / 100)))
+    arrived = f"{folder}/m{name}"
+    _in_batches(messages, part(messages), parts, arrived, lambda: jobs.start_ingest(
+        source.file_messages(spark, arrived, "parquet"), f"{folder}/e{name}", f"{folder}/c{name}", source.DRAIN, **options
+    ))
 
 
 @query("arrival_numbers", _MESSAGES + """,
@@ -153,8 +162,7 @@ def arrival_numbers(spark, sf_dir):
         return part
 
     for parts in (1, 3):
-        stream = _messages(spark, sf_dir, f"{folder}/m{parts}", parts, by_time(parts))
-        jobs.start_ingest(stream, f"{folder}/e{parts}", f"{folder}/c{parts}", source.DRAIN).awaitTermination()
+        _ingest(spark, sf_dir, folder, str(parts), parts, by_time(parts))
         events = jobs.read_table(spark, f"{folder}/e{parts}", jobs.EVENT_TABLE)
         events = events.select("seq", "hostName", "ts_us", "processId", "eventId", F.lit(parts).alias("parts"))
         out = events if out is None else out.unionAll(events)
@@ -172,14 +180,13 @@ def late_events(spark, sf_dir):
     """Four batches of messages out of order: what lies five days behind the newest event of earlier batches goes to the side table."""
     folder = _folder(spark, "late")
     number = F.col("msg_id").cast("bigint")
-    stream = _messages(spark, sf_dir, f"{folder}/messages", 4, lambda _: (number * 7 + 3) % 4)
-    jobs.start_ingest(
-        stream, f"{folder}/events", f"{folder}/c", source.DRAIN, late_path=f"{folder}/late", lateness_s=5 * DAY_US / 1e6
-    ).awaitTermination()
+    _ingest(
+        spark, sf_dir, folder, "", 4, lambda _: (number * 7 + 3) % 4, late_path=f"{folder}/late", lateness_s=5 * DAY_US / 1e6
+    )
     columns = ["hostName", "ts_us", "processId", "eventId"]
     sides = [
         jobs.read_table(spark, f"{folder}/{name}", jobs.EVENT_TABLE).select(*columns, F.lit(late).alias("late"))
-        for name, late in (("events", False), ("late", True))
+        for name, late in (("e", False), ("late", True))
     ]
     return _result(spark, folder, sides[0].unionAll(sides[1]))
 
@@ -200,13 +207,16 @@ SELECT n.*, fmt FROM n, (SELECT unnest(['parquet', 'csv']) AS fmt) f
 def numbered_events(spark, sf_dir):
     """The place of every event in its files, whatever way they are split among tasks."""
     folder, out = _folder(spark, "numbered"), None
-    events = telemetry(spark, sf_dir).repartitionByRange(3, "seq").sortWithinPartitions("seq")
+    events = telemetry(spark, sf_dir)
+    files = max(3, spark.sparkContext.defaultParallelism)
+    split = max(100_000, 2 * events.count())  # bytes of some dozens of tasks
+    events = events.repartitionByRange(files, "seq").sortWithinPartitions("seq")
     setting = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(setting)
     try:
         for fmt in ("parquet", "csv"):
             events.select(*EVENT_COLUMNS).write.option("header", True).option("escape", '"').format(fmt).save(f"{folder}/{fmt}")
-            spark.conf.set(setting, "100000" if fmt == "csv" else before)
+            spark.conf.set(setting, str(split) if fmt == "csv" else before)
             found = read_events(spark, f"{folder}/{fmt}", fmt, escaped=True, numbered=True)
             found = materialize(found.select(F.round(F.col("timestamp") * 1_000_000).cast("bigint").alias("ts_us"), F.col("seq").alias("place"), F.lit(fmt).alias("fmt")))
             out = found if out is None else out.unionAll(found)
@@ -266,11 +276,8 @@ def stream_session_events(spark, sf_dir):
     """The same from a stream in four batches, whose sessions start and end between and within batches."""
     folder = _folder(spark, "sessions")
     log = materialize(_session_log(telemetry(spark, sf_dir)))
-    stream = _messages(spark, sf_dir, f"{folder}/messages", 4, lambda _: F.col("msg_id").cast("bigint") % 4)
-    jobs.start_ingest(
-        stream, f"{folder}/events", f"{folder}/c", source.DRAIN, session_log=lambda: log
-    ).awaitTermination()
-    events = jobs.read_table(spark, f"{folder}/events", jobs.EVENT_TABLE)
+    _ingest(spark, sf_dir, folder, "", 4, lambda _: F.col("msg_id").cast("bigint") % 4, session_log=lambda: log)
+    events = jobs.read_table(spark, f"{folder}/e", jobs.EVENT_TABLE)
     return _result(spark, folder, events.groupBy("hostName", "userId").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -282,10 +289,10 @@ def stream_out_of_order_alerts(spark, sf_dir):
     """The batch alerts, from scores in three batches that lie across each other in time."""
     folder = _folder(spark, "disorder")
     rows = materialize(scored_users(spark, sf_dir))
-    for i in range(3):
-        rows.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{folder}/scores")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/scores")
-    jobs.start_alerts(stream, f"{folder}/alerts", f"{folder}/c", source.DRAIN, delay="60 days", **GATES).awaitTermination()
+    _in_batches(rows, F.pmod(F.xxhash64("seq"), F.lit(3)), 3, f"{folder}/scores", lambda: jobs.start_alerts(
+        spark.readStream.schema(rows.schema).parquet(f"{folder}/scores"), f"{folder}/alerts", f"{folder}/c", source.DRAIN,
+        delay="60 days", **GATES,
+    ))
     return _result(spark, folder, jobs.corrected_alerts(spark, f"{folder}/alerts"))
 
 
