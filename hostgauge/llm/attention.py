@@ -88,8 +88,11 @@ class Attention:
         "group_bias": (GROUPS,), "inside": (GROUPS, HIDDEN, PLACES), "inside_bias": (GROUPS, PLACES),
     }
 
+    _ENDS = np.cumsum([int(np.prod(s)) for s in SHAPES.values()]).tolist()
+    _PARTS = [(name, slice(a, b), shape) for (name, shape), a, b in zip(SHAPES.items(), [0, *_ENDS], _ENDS)]
+
     def __init__(self, flat: np.ndarray | None = None, seed: int = 7):
-        self.size = sum(int(np.prod(s)) for s in self.SHAPES.values())
+        self.size = self._ENDS[-1]
         if flat is None:
             rng, parts = np.random.default_rng(seed), []
             for name, shape in self.SHAPES.items():
@@ -101,12 +104,7 @@ class Attention:
         self._name()
 
     def _name(self) -> None:
-        at = 0
-        self.p = {}
-        for name, shape in self.SHAPES.items():
-            n = int(np.prod(shape))
-            self.p[name] = self.flat[at : at + n].reshape(shape)
-            at += n
+        self.p = {name: self.flat[at].reshape(shape) for name, at, shape in self._PARTS}
 
     # Distance of key j from query i of a window is i + BLOCK - j; keys after the query are out of sight.
     _FROM = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
@@ -118,8 +116,8 @@ class Attention:
         """What depends on a place alone, worked out once for all ids to be scored."""
         e, p = self.p["embed"], self.p
         return {
-            "q": e @ p["q"] / np.float32(np.sqrt(WIDTH)), "kv": np.hstack([e @ p["k"], e @ p["v"]]), "own": e @ p["own"] + p["hidden"],
-            "bias": self._bias(),
+            "q": e @ (p["q"] / np.float32(np.sqrt(WIDTH))), "kv": e @ np.hstack([p["k"], p["v"]]), "own": e @ p["own"] + p["hidden"],
+            "bias": self._bias().T.copy(),
         }
 
     def scoring(self) -> dict[str, np.ndarray]:
@@ -137,8 +135,10 @@ class Attention:
         }
 
     def _sight(self, current: np.ndarray, keys: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
-        """How much each query looks at each key, before it is divided by the sum."""
-        sight = np.matmul(np.take(t["q"], current, 0), keys.transpose(0, 2, 1))
+        """How much each key (rows) is looked at by each query (columns), before it is divided by the query's sum.
+        Queries stand in columns as small products of this form need no operand turned but the queries."""
+        queries = np.take(t["q"], current, 0).transpose(0, 2, 1).copy()
+        sight = np.matmul(keys, queries)
         sight += t["bias"]
         _clipped(sight)
         return np.exp(sight, out=sight)
@@ -150,10 +150,10 @@ class Attention:
         sight = self._sight(current, keys, t)
         padded = windows == PAD
         edge = np.flatnonzero(padded.any(1))
-        sight[edge] *= ~padded[edge][:, None, :]
-        total = np.matmul(sight, _ONES)
+        sight[edge] *= ~padded[edge][:, :, None]
+        total = np.matmul(_ONES.T, sight).transpose(0, 2, 1)
         total += _LEAST  # a query of padding sees nothing
-        seen = np.matmul(sight, values)
+        seen = np.matmul(sight.transpose(0, 2, 1), values)
         seen /= total
         return current, keys, values, sight, total, seen
 
@@ -164,7 +164,7 @@ class Attention:
         for at in range(0, len(windows), _BATCH):  # as much as fits a core's cache
             w = windows[at : at + _BATCH]
             current, both = w[:, BLOCK:], np.take(t["kv"], w, 0)
-            seen = np.matmul(self._sight(current, both[..., :WIDTH], t), both[..., WIDTH:])
+            seen = np.matmul(self._sight(current, both[..., :WIDTH], t).transpose(0, 2, 1), both[..., WIDTH:])
             seen /= seen[..., HIDDEN:] + _LEAST
             seen[..., HIDDEN] = 0
             seen += np.take(t["own"], current, 0)
@@ -195,49 +195,57 @@ class Attention:
         current, keys, values, sight, total, seen = self._attend(windows, t)
         group, place = np.divmod(targets[real], PLACES)
         order = np.argsort(group.astype(np.int8), kind="stable")  # one group after the other, as in ``log10``
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        rows, place = np.flatnonzero(real)[order], place[order] + GROUPS
+        group, place, rows = group[order], place[order], np.flatnonzero(real)[order]
+        cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        spans = [(x, slice(a, b)) for x, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
         flat_seen, own = np.take(seen.reshape(-1, WIDTH), rows, 0), np.take(current.ravel(), rows)
-        hidden = np.maximum(flat_seen @ p["mixed"] + np.take(t["own"], own, 0), 0)
-        n, loss, d_hidden = max(1, len(rows)), 0.0, np.empty_like(hidden)
-        for x in np.flatnonzero(np.diff(cuts)):
-            at = slice(cuts[x], cuts[x + 1])
-            weights = np.hstack([p["group"], p["inside"][x]])
-            logits = hidden[at] @ weights
-            logits += np.concatenate([p["group_bias"], p["inside_bias"][x]])
-            more, d_out = _loss(logits, x, place[at])
-            loss += more
-            d_weights, d_bias = hidden[at].T @ d_out, d_out.sum(0)
-            d["group"] += d_weights[:, :GROUPS]
-            d["group_bias"] += d_bias[:GROUPS]
-            d["inside"][x], d["inside_bias"][x] = d_weights[:, GROUPS:], d_bias[GROUPS:]
-            np.matmul(d_out, weights.T, out=d_hidden[at])
+        hidden = flat_seen @ p["mixed"]
+        hidden += np.take(t["own"], own, 0)
+        np.maximum(hidden, 0, out=hidden)
+        n = max(1, len(rows))
+        first, second = hidden @ p["group"], np.empty((len(rows), PLACES), np.float32)
+        first += p["group_bias"]
+        for x, at in spans:  # the second step's weights are those of the group
+            np.matmul(hidden[at], p["inside"][x], out=second[at])
+            second[at] += p["inside_bias"][x]
+        loss = _loss(first, group) + _loss(second, place)
+        d_hidden, more = first @ p["group"].T.copy(), np.empty_like(hidden)
+        d["group"][:], d["group_bias"][:] = hidden.T @ first, _sum(first)
+        turned = p["inside"].transpose(0, 2, 1).copy()
+        for x, at in spans:
+            np.matmul(hidden[at].T, second[at], out=d["inside"][x])
+            d["inside_bias"][x] = _sum(second[at])
+            np.matmul(second[at], turned[x], out=more[at])
+        d_hidden += more
         d_hidden *= hidden > 0
-        d["hidden"][:] = d_hidden.sum(0)
+        d["hidden"][:] = _sum(d_hidden)
         d["mixed"][:] = flat_seen.T @ d_hidden
         d["own"][:] = np.take(e, own, 0).T @ d_hidden
         d_seen = np.zeros((real.size, WIDTH), np.float32)
-        d_seen[rows] = d_hidden @ p["mixed"].T
+        d_past = d_hidden @ np.hstack([p["mixed"].T, p["own"].T])
+        d_seen[rows] = d_past[:, :WIDTH]
         d_seen = d_seen.reshape(seen.shape)
-        sight /= total
-        d_sight = np.matmul(d_seen, values.transpose(0, 2, 1))
-        d_values = np.matmul(sight.transpose(0, 2, 1), d_seen)
-        d_sight -= (d_seen * seen).sum(-1, keepdims=True)
+        d_seen /= total
+        of_total = np.einsum("bqw,bqw->bq", d_seen, seen)
+        d_both = np.empty((*windows.shape, 2 * WIDTH), np.float32)
+        np.matmul(sight, d_seen, out=d_both[..., WIDTH:])
+        d_sight = np.matmul(values, d_seen.transpose(0, 2, 1).copy())
+        d_sight -= of_total[:, None, :]
         d_sight *= sight
-        by_distance = d_sight.sum(0)
+        by_distance = d_sight.sum(0).T
         seen_pairs = self._FROM >= 0
         d["distance"][:] = np.bincount(self._FROM[seen_pairs], by_distance[seen_pairs], 2 * BLOCK)
-        d_query = np.matmul(d_sight, keys).reshape(-1, WIDTH) * np.float32(1 / np.sqrt(WIDTH))
-        d_keys = np.matmul(d_sight.transpose(0, 2, 1), np.take(t["q"], current, 0)).reshape(-1, WIDTH)
-        d_values = d_values.reshape(-1, WIDTH)
-        at_query, at_key = current.ravel(), windows.ravel()
+        queries = np.take(t["q"], current, 0)
+        np.matmul(d_sight, queries, out=d_both[..., :WIDTH])
+        d_query = np.matmul(d_sight.transpose(0, 2, 1), keys).reshape(-1, WIDTH)
+        d_query *= np.float32(1 / np.sqrt(WIDTH))
+        at_query, at_key, d_both = current.ravel(), windows.ravel(), d_both.reshape(-1, 2 * WIDTH)
         d["q"][:] = np.take(e, at_query, 0).T @ d_query
-        looked_at = np.take(e, at_key, 0).T
-        d["k"][:] = looked_at @ d_keys
-        d["v"][:] = looked_at @ d_values
-        d_query = d_query @ p["q"].T
-        d_query[rows] += d_hidden @ p["own"].T
-        d_window = (d_keys @ p["k"].T + d_values @ p["v"].T).reshape(*windows.shape, WIDTH)
+        d_kv = np.take(e, at_key, 0).T @ d_both
+        d["k"][:], d["v"][:] = d_kv[:, :WIDTH], d_kv[:, WIDTH:]
+        d_query = d_query @ p["q"].T.copy()
+        d_query[rows] += d_past[:, WIDTH:]
+        d_window = (d_both @ np.vstack([p["k"].T, p["v"].T])).reshape(*windows.shape, WIDTH)
         d_window[:, BLOCK:] += d_query.reshape(*current.shape, WIDTH)  # a query's place is among those of its window
         d["embed"][:] = _add_up(at_key, d_window.reshape(-1, WIDTH))
         g.flat /= n
@@ -246,8 +254,23 @@ class Attention:
 
 def _add_up(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sum of the rows of each place."""
-    at = ids.astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)
-    return np.bincount(at.ravel(), rows.ravel(), (PAD + 1) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+    order = np.argsort(ids.astype(np.int16), kind="stable")
+    ids = ids[order]
+    firsts = np.flatnonzero(np.diff(ids, prepend=-1))
+    out = np.zeros((PAD + 1, WIDTH), np.float32)
+    if len(firsts):
+        out[ids[firsts]] = np.add.reduceat(np.take(rows, order, 0), firsts, 0)
+    return out
+
+
+def keep_memory() -> None:
+    """From now on the process keeps the memory of freed arrays: malloc raises its limits to the size of the first
+    large array that is freed. Otherwise every step gets its memory anew, page by page."""
+    np.empty(31 << 20, np.int8)
+
+
+def _sum(rows: np.ndarray) -> np.ndarray:
+    return np.ones(len(rows), np.float32) @ rows
 
 
 def _clipped(x: np.ndarray) -> np.ndarray:
@@ -263,16 +286,15 @@ def _shares(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndar
     return chosen - total - np.log(logits[:, GROUPS:] @ _ONES[:PLACES, 0]), begins
 
 
-def _loss(logits: np.ndarray, group: int, place: np.ndarray) -> tuple[float, np.ndarray]:
-    """Loss of both steps together for targets of one group, and its gradient by the logits (changed in place)."""
-    rows = np.arange(len(logits))
+def _loss(logits: np.ndarray, chosen: np.ndarray) -> float:
+    """Loss of one step for what was chosen; the logits become its gradient by them."""
     np.exp(_clipped(logits), out=logits)
-    for step in (logits[:, :GROUPS], logits[:, GROUPS:]):
-        step /= step @ _ONES[: step.shape[1]] + _LEAST
-    loss = -float(np.log(logits[:, group] + 1e-12).sum() + np.log(logits[rows, place] + 1e-12).sum())
-    logits[:, group] -= 1
-    logits[rows, place] -= 1
-    return loss, logits
+    logits *= np.reciprocal(logits @ _ONES[: logits.shape[1], 0] + _LEAST)[:, None]
+    at = np.arange(len(logits)) * logits.shape[1] + chosen
+    flat = logits.reshape(-1)
+    share = np.take(flat, at)
+    flat[at] = share - 1
+    return -float(np.log(share + 1e-12).sum())
 
 
 class Trainer:
@@ -286,7 +308,13 @@ class Trainer:
         loss, g = self.model.gradient(windows, targets, real)
         self.step += 1
         self.m += 0.1 * (g - self.m)
-        self.s += 0.01 * (g * g - self.s)
-        m, s = self.m / (1 - 0.9**self.step), self.s / (1 - 0.99**self.step)
-        self.model.flat -= np.float32(self.rate) * m / (np.sqrt(s) + 1e-6)
+        g *= g
+        g -= self.s
+        g *= 0.01
+        self.s += g
+        root = np.sqrt(self.s / (1 - 0.99**self.step), out=g)
+        root += 1e-6
+        change = np.divide(self.m, root, out=root)
+        change *= self.rate / (1 - 0.9**self.step)
+        self.model.flat -= change
         return loss

@@ -326,6 +326,30 @@ def test_lm_mix_is_fitted_on_all_training_words(spark):
     assert got == pytest.approx(max(w, 0.01), rel=1e-4)
 
 
+def test_lm_scores_every_text_once_and_mixes_what_is_stored(spark):
+    from pyspark.sql import types as T
+
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randrange(0, 120))) for i in range(40)] + [(40, None), (41, "once"), (42, "")]
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(t):
+        reads.add(1)
+        return t
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3, "doc_id").withColumn("text", F.udf(read, T.StringType())("text"))
+    got = lm.score_texts(docs, known=9).collect()
+    train = sum(not r.held_out for r in got)
+    # read to count words, to draw runs, to train and to be scored: fitting the mix takes no pass of its own
+    assert 0 < train < len(rows) and reads.value <= 3 * train + len(rows)
+    assert sorted(r.doc_id for r in got) == list(range(43))
+
+    judged = spark.createDataFrame([(1, -7.5, np.array([-1.0, 2.0, 0.5], np.float32).tobytes()), (2, 0.0, b"")], "row bigint, own double, ratios binary")
+    want = -7.5 + sum(math.log10(0.7 + 0.3 * 10.0**r) for r in (-1, 2, 0.5))
+    assert [r.score for r in lm._mixed(judged, 0.7).orderBy("row").collect()] == pytest.approx([want, 0.0])
+    assert [r.score for r in lm._mixed(judged, 1.0).orderBy("row").collect()] == pytest.approx([-7.5, 0.0])
+
+
 def test_lm_learns_from_every_word(spark):
     from hostgauge.llm.attention import HIDDEN, Attention, Vocabulary
     from hostgauge.llm.subwords import Subwords, vocabulary_path
