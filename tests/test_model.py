@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hostgauge.fixed_values import FEATURES, LEGACY_FEATURES
+from hostgauge.fixed_values import FEATURES, LEGACY_FEATURES, TRAIN_SAMPLE
 from hostgauge.operators import isolation_forest as forest
 from hostgauge.plans import jobs
 from hostgauge.schemas import with_clock
@@ -184,6 +184,27 @@ def test_numbered_events_go_through_the_jobs(spark, trained, tmp_path):
     assert len(rows) == 400 and len({r["seq"] for r in rows}) == 400
 
 
+def test_no_benign_row_is_left_out(spark):
+    """One row more than training was once limited to."""
+    n = TRAIN_SAMPLE + 1
+    rows = spark.range(n).select("id", F.sin("id").alias("x"), (F.col("id") % 100).cast("double").alias("y"))
+    assert forest.fit(rows, ["id"], n_trees=1, features=["x", "y"]).sample_size == n
+    assert jobs.TrainOptions().train_sample is None
+
+
+def test_the_offset_is_that_of_all_rows(spark):
+    x = np.random.default_rng(5).normal(size=(3000, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id bigint, a double, b double")
+    fitted = forest.fit(df, ["id"], n_trees=20, features=["a", "b"])
+    assert fitted.forest.offset == pytest.approx(np.quantile(fitted.forest.raw_scores(x), 0.03), abs=1e-12)
+
+
+def test_a_sample_is_taken_if_asked_for(spark, tmp_path):
+    day = host_day(spark)
+    o = jobs.TrainOptions(n_trees=5, train_sample=100)
+    assert jobs.train(day, day, str(tmp_path / "m"), o).first()["benign_sample_used"] == 100
+
+
 def test_scores_per_entity_can_be_capped(spark, tmp_path):
     day = host_day(spark)
     o = jobs.TrainOptions(n_trees=5, max_scores_per_entity=50)
